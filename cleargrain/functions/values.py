@@ -18,6 +18,7 @@ KNOWN_REGIONS = (
     "AB", "BC", "MB", "NB", "NL", "NS", "NT", "NU", "ON", "PE", "QC", "SK", "YT", "Hors du Canada",
 )
 
+_TRUTH = r"^(?i:true|false)$"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _INFINITE = r"^[+-]?(?i:inf|infinity)$"
 _ISO_DATE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
@@ -63,7 +64,7 @@ def value_type(col: Column, dtype: T.DataType, *, lexical: bool = False) -> Colu
     if lexical and isinstance(dtype, T.StringType):
         text = strip(col)
         kind = (
-            F.when(F.lower(text).isin("true", "false"), "boolean")
+            F.when(text.rlike(_TRUTH), "boolean")
             .when(text.rlike(_ISO_DATE) & text.try_cast("timestamp_ntz").isNotNull(), "date")
             .when(text.rlike(_NUMBER), "numeric")
             .otherwise("text")

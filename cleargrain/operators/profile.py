@@ -1,7 +1,6 @@
 """Column profiles and the missing-values report.
 
-Every figure about every column comes from one pass with one row of aggregates; only that row is
-turned into a table, never the data.
+Every figure about every column comes from one pass whose sums are combined before any exchange.
 """
 
 from __future__ import annotations
@@ -29,54 +28,92 @@ def _fields(table: DataFrame, row_id: str) -> list[T.StructField]:
     return [field for field in table.schema.fields if field.name != row_id]
 
 
-def _possible_types(field: T.StructField, lexical: bool) -> tuple[str, ...]:
-    if lexical and isinstance(field.dataType, T.StringType):
-        return ("date", "numeric", "text", "boolean")
-    return (declared_type(field.dataType),)
+def _reads_text(field: T.StructField, lexical: bool) -> bool:
+    return lexical and isinstance(field.dataType, T.StringType)
 
 
 def column_counts(table: DataFrame, *, row_id: str = ROW_ID, lexical: bool = False) -> DataFrame:
     """One row per column: totals, and count and first row of each coarse type."""
     fields = _fields(table, row_id)
-    measures: list[Column] = [F.count(F.lit(1)).alias("total")]
-    for place, field in enumerate(fields):
-        col = quoted(field.name)
-        types = _possible_types(field, lexical)
-        measures.append(F.count_if(is_missing(col, field.dataType)).alias(f"m{place}"))
-        if len(types) == 1:
-            continue
-        kind = value_type(col, field.dataType, lexical=lexical)
-        for name in types:
-            measures.append(F.count_if(kind == name).alias(f"n{place}_{name}"))
-            measures.append(F.min(F.when(kind == name, F.col(row_id))).alias(f"f{place}_{name}"))
+    if any(_reads_text(field, lexical) for field in fields):
+        return _tagged_counts(table, fields, row_id)
+    return _declared_counts(table, fields)
+
+
+def _declared_counts(table: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """Typed columns only have gaps to count: one row of aggregates, turned into a table."""
+    gaps = [F.count_if(is_missing(quoted(f.name), f.dataType)).alias(f"m{i}") for i, f in enumerate(fields)]
 
     def entry(place: int, field: T.StructField) -> Column:
-        types = _possible_types(field, lexical)
-        missing = F.col(f"m{place}")
-        if len(types) == 1:
-            tags = [(types[0], F.col("total") - missing, F.lit(0).cast("bigint"))]
-        else:
-            tags = [(t, F.col(f"n{place}_{t}"), F.col(f"f{place}_{t}")) for t in types]
-        return F.struct(
-            F.lit(place).alias("ordinal"),
-            F.lit(field.name).alias("column_name"),
-            F.col("total").alias("total_rows"),
-            missing.alias("missing_count"),
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(t).alias("type"),
-                        F.lit(TYPE_PRIORITY.index(t)).alias("rank"),
-                        count.alias("count"),
-                        first.alias("first_row"),
-                    )
-                    for t, count, first in tags
-                ]
-            ).alias("types"),
+        present = F.col("total") - F.col(f"m{place}")
+        return _column_entry(
+            F.lit(place),
+            F.lit(field.name),
+            F.col("total"),
+            F.col(f"m{place}"),
+            F.array(_type_entry(F.lit(declared_type(field.dataType)), present, F.lit(0).cast("bigint"))),
         )
 
     entries = F.array(*[entry(place, field) for place, field in enumerate(fields)])
-    return table.agg(*measures).select(F.inline(entries))
+    return table.agg(F.count(F.lit(1)).alias("total"), *gaps).select(F.inline(entries))
+
+
+def _tagged_counts(table: DataFrame, fields: list[T.StructField], row_id: str) -> DataFrame:
+    """Text is classified value by value.
+
+    Cells stream through one small classifier into map-side sums, which compiles far better than an
+    expression per column and type. Typed cells only pass as present or missing.
+    """
+    cells = {
+        f"c{i}": quoted(f.name)
+        if isinstance(f.dataType, T.StringType)
+        else F.when(~is_missing(quoted(f.name), f.dataType), F.lit(""))
+        for i, f in enumerate(fields)
+    }
+    declared = F.array(
+        *[F.lit(None if isinstance(f.dataType, T.StringType) else declared_type(f.dataType)) for f in fields]
+    )
+    names = F.array(*[F.lit(f.name) for f in fields])
+    ordinal = F.substring("cell", 2, 9).cast("int")
+    tag = F.col("tag")
+    counted = (
+        table.select(F.col(row_id).alias("at"), *[cell.alias(name) for name, cell in cells.items()])
+        .unpivot(["at"], list(cells), "cell", "value")
+        .groupBy("cell", value_type(F.col("value"), T.StringType(), lexical=True).alias("tag"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_row"))
+        .select(
+            ordinal.alias("ordinal"),
+            F.when(tag == "missing", tag).otherwise(F.coalesce(F.get(declared, ordinal), tag)).alias("tag"),
+            "n",
+            "first_row",
+        )
+    )
+    present = F.when(tag != "missing", _type_entry(tag, F.col("n"), F.col("first_row")))
+    per_column = counted.groupBy("ordinal").agg(
+        F.sum("n").alias("total"),
+        F.sum(F.when(tag == "missing", F.col("n")).otherwise(0)).alias("missing"),
+        # At most one entry per coarse type.
+        F.collect_list(present).alias("types"),
+    )
+    entry = _column_entry(
+        F.col("ordinal"), F.get(names, F.col("ordinal")), F.col("total"), F.col("missing"), F.col("types")
+    )
+    return per_column.select(F.inline(F.array(entry)))
+
+
+def _column_entry(ordinal: Column, name: Column, total: Column, missing: Column, types: Column) -> Column:
+    return F.struct(
+        ordinal.alias("ordinal"),
+        name.alias("column_name"),
+        total.alias("total_rows"),
+        missing.alias("missing_count"),
+        types.alias("types"),
+    )
+
+
+def _type_entry(kind: Column, count: Column, first_row: Column) -> Column:
+    rank = F.array_position(F.array(*[F.lit(t) for t in TYPE_PRIORITY]), kind)
+    return F.struct(kind.alias("type"), rank.alias("rank"), count.alias("count"), first_row.alias("first_row"))
 
 
 def inferred_type(*, first_seen: bool = False) -> Column:

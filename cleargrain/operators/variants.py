@@ -18,6 +18,8 @@ EXACT_REASON = "Values become identical after deterministic text normalization."
 FUZZY_REASON = "RapidFuzz WRatio on normalized organization names within the same block."
 PREFIX_LENGTH, TOKEN_LENGTH, INITIALS, LENGTH_STEP = 6, 8, 4, 5
 MAX_BLOCK_SIZE = 750
+# A block with more pairs than this is compared by several tasks.
+PAIRS_PER_TASK = 16_384
 
 MATCH_SCHEMA = T.StructType(
     [
@@ -157,25 +159,40 @@ def _paired(members: DataFrame) -> DataFrame:
     """Pairs of names that share a block, each produced in exactly one block.
 
     Every name carries the sorted keys it kept, and a pair counts only in the first key its names
-    share: no pair has to be exchanged to find that it was already seen.
+    share: no pair has to be exchanged to find that it was already seen. The left names of a large
+    block are cut into slices, each of which meets all its right names in a task of its own.
     """
     spark = members.sparkSession
-    kept = members.groupBy("normalized_value", "original_value", "frequency").agg(
-        F.array_sort(F.collect_set("block")).alias("blocks")
+    sizes = Window.partitionBy("block")
+    slices = F.ceil(F.col("size") * F.col("size") / (2 * PAIRS_PER_TASK)).cast("int")
+    kept = (
+        members.withColumn("size", F.count(F.lit(1)).over(sizes))
+        .filter("size > 1")
+        .groupBy("normalized_value", "original_value", "frequency")
+        .agg(F.array_sort(F.collect_list(F.struct("block", slices.alias("slices")))).alias("kept"))
+        .select(
+            "normalized_value",
+            "original_value",
+            "frequency",
+            word_key(F.col("normalized_value")).alias("word_key"),
+            F.col("kept.block").alias("blocks"),
+            F.explode("kept").alias("at"),
+        )
+        .select("*", "at.block", "at.slices")
+        .drop("at")
     )
-    # Few bytes here make many pairs there: fix the number of tasks so that the adaptive planner
-    # does not fold small blocks into one.
+    # Few bytes here make many pairs there: fix the number of tasks, so that the adaptive planner
+    # does not fold small inputs into one.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = (
-        kept.withColumn("word_key", word_key(F.col("normalized_value")))
-        .withColumn("block", F.explode("blocks"))
-        .repartition(tasks, "block")
-    )
-    left, right = spread.alias("l"), spread.alias("r")
+    one_slice = F.pmod(F.xxhash64("normalized_value"), F.col("slices")).cast("int")
+    every_slice = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    left = kept.withColumn("slice", one_slice).repartition(tasks, "block", "slice").alias("l")
+    right = kept.withColumn("slice", every_slice).repartition(tasks, "block", "slice").alias("r")
     first_shared = F.array_min(F.array_intersect("l.blocks", "r.blocks"))
     return left.join(
         right,
         (F.col("l.block") == F.col("r.block"))
+        & (F.col("l.slice") == F.col("r.slice"))
         & (F.col("l.normalized_value") < F.col("r.normalized_value"))
         & (F.col("l.block") == first_shared),
     )

@@ -33,7 +33,8 @@ def read_csv(spark: SparkSession, path: str, *, key: str | None = None) -> DataF
     Short rows are padded with NULLs, long rows cut to the header's width. A quoted empty string
     stays distinct from a missing value.
     """
-    options = {"header": False, "multiLine": False, "emptyValue": "", "escape": '"'}
+    # Only an unquoted empty cell turns into this marker, so a quoted empty string is kept.
+    options = {"header": False, "nullValue": "\x00missing\x00", "emptyValue": "", "escape": '"'}
     header = spark.read.options(**options).csv(path).first()
     if header is None:
         raise ValueError(f"no header line in {path}")
