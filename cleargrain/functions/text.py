@@ -22,7 +22,7 @@ MISSING_KEY = "<MISSING>"
 NORMALIZED_SUFFIX = "normalized_codex"
 CLEANED_SUFFIX = "cleaned_codex"
 
-_SPACE_CLASS = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in WHITESPACE) + "]"
+_SPACES = "".join(f"\\x{{{ord(ch):x}}}" for ch in WHITESPACE)
 _WORD = r"\p{L}\p{N}"
 
 
@@ -40,10 +40,10 @@ def is_missing(col: Column, dtype: T.DataType) -> Column:
 
 @lru_cache(maxsize=1)
 def _combining_class() -> str:
-    """Regex class of characters with a non-zero canonical combining class.
+    """Inside of a regex class of the characters with a non-zero canonical combining class.
 
-    All of them are marks, so the class is "marks, minus the marks whose class is zero"; the cheap
-    category test decides nearly every character.
+    All of them are marks, so the class is "marks, minus the marks whose class is zero". The block
+    of common diacritics comes first, and the category test settles nearly everything else.
     """
     spacing = [
         cp
@@ -57,24 +57,28 @@ def _combining_class() -> str:
         else:
             ranges.append([cp, cp])
     kept = "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in ranges)
-    return f"[\\p{{M}}&&[^{kept}]]"
+    return f"\\x{{300}}-\\x{{34e}}\\x{{350}}-\\x{{36f}}[\\p{{M}}&&[^{kept}]]"
 
 
-def strip_accents(col: Column) -> Column:
-    """Compatibility-decompose and drop combining marks, wholly in the JVM.
+def _without(col: Column, characters: str, *, decompose: bool) -> Column:
+    """Delete non-ASCII characters, after compatibility decomposition if wanted; ASCII text passes.
 
     Spark has no SQL function for decomposition, but ships ICU on every executor and can call a
-    static method of it. ASCII text, the common case, never makes the call.
+    static method of it, which keeps the work in the JVM.
     """
-    decomposed = F.java_method(
-        F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), col, F.lit(True)
-    )
+    text = col
+    if decompose:
+        text = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), col, F.lit(True))
     return F.when(
-        F.octet_length(col) > F.char_length(col),
-        F.regexp_replace(decomposed, _combining_class(), ""),
+        F.octet_length(col) > F.char_length(col), F.regexp_replace(text, f"[{characters}]+", "")
     ).otherwise(col)
 
 
+def strip_accents(col: Column) -> Column:
+    """Compatibility-decompose and drop combining marks."""
+    return _without(col, _combining_class(), decompose=True)
+
+
 def normalize(
     col: Column,
     *,
@@ -85,21 +89,23 @@ def normalize(
 ) -> Column:
     """Comparable form of a text value; NULL when nothing is left."""
     text = col.cast("string")
-    # Characters past the end of the replacement string are deleted.
-    text = F.translate(text, NO_BREAK_SPACE + ZERO_WIDTH, " ")
     if not collapse_whitespace:
-        text = strip(text)
-    if remove_accents:
-        text = strip_accents(text)
+        text = strip(F.replace(_without(text, ZERO_WIDTH, decompose=False), F.lit(NO_BREAK_SPACE), F.lit(" ")))
+        text = strip_accents(text) if remove_accents else text
+    elif remove_accents:
+        # Zero-width characters survive decomposition unchanged, so they go with the marks.
+        text = _without(text, ZERO_WIDTH + _combining_class(), decompose=True)
+    else:
+        text = _without(text, ZERO_WIDTH, decompose=False)
     if uppercase:
         text = F.upper(text)
     if remove_punctuation and collapse_whitespace:
         # Punctuation, underscores and white space all end up as one space: a single pass does it.
-        text = F.btrim(F.regexp_replace(text, f"[^{_WORD}]+", " "))
+        text = F.btrim(F.regexp_replace(text, f"[^a-zA-Z0-9{_WORD}]+", " "))
     elif remove_punctuation:
-        text = F.regexp_replace(text, f"[^{_WORD}_{_SPACE_CLASS[1:-1]}]|_+", " ")
+        text = F.regexp_replace(text, f"[^{_WORD}_{_SPACES}]|_+", " ")
     elif collapse_whitespace:
-        text = F.btrim(F.regexp_replace(text, f"{_SPACE_CLASS}+", " "))
+        text = F.btrim(F.regexp_replace(text, f"[{_SPACES}]+", " "))
     return F.nullif(text, F.lit(""))
 
 

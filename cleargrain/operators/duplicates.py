@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import MISSING_KEY, is_missing, normalize, quoted, serialize
+from ..functions.text import MISSING_KEY, is_missing, normalize, quoted, serialize, strip
 from ..session import BROADCAST_KEYS, broadcast_if_small
 from .profile import ROW_ID
 from .roles import DEFAULT_ROLES, Roles, primary_organization
@@ -23,6 +24,7 @@ RECOMMENDATIONS = {
 }
 EXACT_KEY_PARTS_SHOWN = 8
 PROBABLE_PARTS_NEEDED = 4
+PROBABLE_KEY = "_probable_key"
 
 REPORT_COLUMNS = (
     "duplicate_type",
@@ -50,6 +52,16 @@ def _report(groups: DataFrame) -> DataFrame:
     return groups.withColumn("review_recommendation", recommendation).select(*REPORT_COLUMNS)
 
 
+def _comparable(table: DataFrame, column: str) -> Column:
+    """A value that is equal exactly when the serialised value is, without rendering it."""
+    col, dtype = quoted(column), table.schema[column].dataType
+    if isinstance(dtype, T.StringType):
+        return F.coalesce(strip(col), F.lit(MISSING_KEY))
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.when(~is_missing(col, dtype), col.cast("string"))
+    return col
+
+
 def exact_duplicates(
     table: DataFrame,
     *,
@@ -62,58 +74,65 @@ def exact_duplicates(
     The wide rows should not all cross the network to find the few that repeat. A first pass counts
     8-byte hashes; when the repeated hashes fit a checked broadcast, only rows carrying one go on to
     be grouped by their full values, which also tells colliding rows apart. With more repeats than
-    that, rows are grouped directly: copies then collapse before the exchange.
+    that, rows are grouped directly: copies then collapse before the exchange. Values are rendered
+    as text only for the groups found.
     """
     columns = [c for c in table.columns if c not in (row_id, roles.row_number)]
+    names = {column: f"k{i}" for i, column in enumerate(columns)}
     organization = primary_organization(table.columns, roles)
-    parts = {f"k{i}": _serialized(table, c) for i, c in enumerate(columns)}
-    names = list(parts)
+    rows = table.select(*[_comparable(table, column).alias(name) for column, name in names.items()])
+    rows = rows.withColumn("h", F.xxhash64(*names.values()))
 
-    hashed = table.select(F.xxhash64(*parts.values()).alias("h"))
-    repeated = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     repeated, small = broadcast_if_small(repeated, broadcast_keys)
-
-    rows = table.select(*[part.alias(name) for name, part in parts.items()])
     if small:
-        rows = rows.withColumn("h", F.xxhash64(*names)).join(repeated, "h", "left_semi")
-    groups = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
-
-    # Every row of a group agrees on these, so any row is the first one.
-    def shared(column: str | None) -> Column:
-        return F.col(f"k{columns.index(column)}") if column in columns else F.lit(MISSING_KEY)
+        rows = rows.join(repeated, "h", "left_semi")
+    groups = rows.groupBy(*names.values()).agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
+
+    def shown(column: str | None) -> Column:
+        """Every row of a group agrees on the value, so any row is the first one."""
+        if column not in names:
+            return F.lit(MISSING_KEY)
+        dtype = table.schema[column].dataType
+        if isinstance(dtype, (T.FloatType, T.DoubleType)):
+            return serialize(F.col(names[column]).cast(dtype), dtype)
+        return serialize(F.col(names[column]), dtype)
 
     return _report(
         groups.select(
             F.lit(EXACT).alias("duplicate_type"),
             F.lit(EXACT_RULE).alias("rule_name"),
-            F.concat_ws(" || ", *names[:EXACT_KEY_PARTS_SHOWN]).alias("duplicate_key"),
+            F.concat_ws(" || ", *[shown(c) for c in columns[:EXACT_KEY_PARTS_SHOWN]]).alias("duplicate_key"),
             "occurrences",
-            shared(roles.reference).alias("example_ref_number"),
-            shared(organization).alias("example_organization"),
+            shown(roles.reference).alias("example_ref_number"),
+            shown(organization).alias("example_organization"),
         )
     )
 
 
-def probable_key(table: DataFrame, roles: Roles = DEFAULT_ROLES) -> Column:
-    """Business facts of a row in one string; NULL when too few of them are known."""
+def with_probable_key(table: DataFrame, name: str = "probable_key", roles: Roles = DEFAULT_ROLES) -> DataFrame:
+    """Add the business facts of each row in one string; NULL when too few of them are known.
+
+    The parts are a projection of their own, so each is computed once however often it is read.
+    """
     organization = primary_organization(table.columns, roles)
     if organization is None:
-        return F.lit(None).cast("string")
-    name = normalize(quoted(organization))
-    candidates = [quoted(c).cast("string") for c in roles.titles if c in table.columns]
+        return table.withColumn(name, F.lit(None).cast("string"))
+    titles = [quoted(c).cast("string") for c in roles.titles if c in table.columns]
     # An empty first title gives way to the second; a blank one does not.
-    title = F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates]) if candidates else F.lit(None)
-    parts = [
-        name,
-        F.coalesce(normalize(title), F.lit(MISSING_KEY)),
-        *[_serialized(table, c) for c in (roles.value, roles.start, roles.end, roles.owner)],
-    ]
-    known = reduce(lambda a, b: a + b, [(part != MISSING_KEY).cast("int") for part in parts])
-    return F.when(name.isNotNull() & (known >= PROBABLE_PARTS_NEEDED), F.concat_ws(" | ", *parts))
-
-
-def with_probable_key(table: DataFrame, name: str = "probable_key", roles: Roles = DEFAULT_ROLES) -> DataFrame:
-    return table.withColumn(name, probable_key(table, roles))
+    title = F.coalesce(*[F.nullif(c, F.lit("")) for c in titles]) if titles else F.lit(None)
+    parts = {
+        "_organization": normalize(quoted(organization)),
+        "_title": F.coalesce(normalize(title), F.lit(MISSING_KEY)),
+        **{f"_{c}": _serialized(table, c) for c in (roles.value, roles.start, roles.end, roles.owner)},
+    }
+    known = reduce(lambda a, b: a + b, [(F.col(part) != MISSING_KEY).cast("int") for part in parts])
+    complete = F.col("_organization").isNotNull() & (known >= PROBABLE_PARTS_NEEDED)
+    return (
+        table.withColumns(parts)
+        .withColumn(name, F.when(complete, F.concat_ws(" | ", *parts)))
+        .drop(*parts)
+    )
 
 
 def _identifier_keys(table: DataFrame, roles: Roles) -> dict[str, Column]:
@@ -166,14 +185,16 @@ def identifier_duplicates(table: DataFrame, *, row_id: str = ROW_ID, roles: Role
 
 def probable_duplicates(table: DataFrame, *, row_id: str = ROW_ID, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """Rows that share their business facts."""
-    return _keyed_groups(table, {PROBABLE_RULE: probable_key(table, roles)}, row_id, roles)
+    keyed = with_probable_key(table, PROBABLE_KEY, roles)
+    return _keyed_groups(keyed, {PROBABLE_RULE: F.col(PROBABLE_KEY)}, row_id, roles)
 
 
 def duplicate_groups(table: DataFrame, *, row_id: str = ROW_ID, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """All duplicate groups, largest first within each type."""
-    rules = {**_identifier_keys(table, roles), PROBABLE_RULE: probable_key(table, roles)}
+    rules = {**_identifier_keys(table, roles), PROBABLE_RULE: F.col(PROBABLE_KEY)}
+    keyed = with_probable_key(table, PROBABLE_KEY, roles)
     return (
         exact_duplicates(table, row_id=row_id, roles=roles)
-        .unionByName(_keyed_groups(table, rules, row_id, roles))
+        .unionByName(_keyed_groups(keyed, rules, row_id, roles))
         .orderBy("duplicate_type", F.desc("occurrences"), "rule_name", "duplicate_key")
     )

@@ -13,12 +13,20 @@ REGIONS = ("AB", "BC", "MB", "NB", "NL", "NS", "NT", "NU", "ON", "PE", "QC", "SK
 COPY_OFFSET = 1_000_000_000_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+    """A given table. With a key, a table of one file is spread over the cores.
+
+    A small file is one row group, which one task reads. Large tables come in many files and are
+    used as they lie.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if key and len(rows.inputFiles()) == 1:
+        rows = rows.repartition(spark.sparkContext.defaultParallelism, key)
+    return rows
 
 
 def agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    orders, customer = table(spark, sf_dir, "orders", key="o_orderkey"), table(spark, sf_dir, "customer")
     # 25 nations and 5 regions whatever the scale: their size is fixed by the data's definition.
     places = F.broadcast(
         table(spark, sf_dir, "nation").join(

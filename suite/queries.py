@@ -177,19 +177,19 @@ def _(df):
 
 @query("p3_normalize_documents")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("normalized"))
+    return table(spark, sf_dir, "documents", key="doc_id").select("doc_id", text.normalize(F.col("text")).alias("normalized"))
 
 
 @query("p3_normalize_conversations")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select(
+    return table(spark, sf_dir, "conversations", key="conv_id").select(
         "conv_id", "turn", text.normalize(F.col("text")).alias("normalized")
     )
 
 
 @query("p4_strip_accents")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.strip_accents(F.col("text")).alias("plain"))
+    return table(spark, sf_dir, "documents", key="doc_id").select("doc_id", text.strip_accents(F.col("text")).alias("plain"))
 
 
 @on_agreements("p5_normalized_companions")
@@ -312,7 +312,7 @@ def _(df):
 
 @query("a5_missing_values_lineitem")
 def _(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").withColumn("_row_id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    lines = table(spark, sf_dir, "lineitem", key="l_orderkey").withColumn("_row_id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     return profile.missing_values_report(lines)
 
 
@@ -346,7 +346,7 @@ def _(spark, sf_dir):
 
 @query("d1_exact_duplicate_texts")
 def _(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_row_id"), "text")
+    texts = table(spark, sf_dir, "documents", key="doc_id").select(F.col("doc_id").alias("_row_id"), "text")
     return duplicates.exact_duplicates(texts)
 
 
