@@ -85,7 +85,9 @@ def weighted_ratio(a: str, b: str) -> float:
         if shared and not (only_a and only_b):
             words = 100.0
         else:
-            words = max(ratio(" ".join(words_a), " ".join(words_b)), _set_ratio(shared, only_a, only_b))
+            sorted_a, sorted_b = " ".join(words_a), " ".join(words_b)
+            same = sorted_a == a and sorted_b == b
+            words = max(best if same else ratio(sorted_a, sorted_b), _set_ratio(shared, only_a, only_b))
         return max(best, words * WORD_WEIGHT)
 
     weight = PART_WEIGHT if lengths <= FAR_PART_ABOVE else FAR_PART_WEIGHT
@@ -117,8 +119,12 @@ def _score_batch(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def similarity(left: Column, right: Column) -> Column:
-    """Weighted ratio of each pair of names."""
-    return F.pandas_udf(_score_batch, T.DoubleType())(left, right)
+    """Weighted ratio of each pair of names.
+
+    Declared non-deterministic only so that a filter on the score is not pushed below it, which
+    would score every pair twice.
+    """
+    return F.pandas_udf(_score_batch, T.DoubleType()).asNondeterministic()(left, right)
 
 
 def edit_similarity(left: Column, right: Column) -> Column:

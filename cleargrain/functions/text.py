@@ -38,26 +38,30 @@ def is_missing(col: Column, dtype: T.DataType) -> Column:
     return col.isNull()
 
 
+def _ranges(points: list[int]) -> str:
+    """Code points as the inside of a regex class."""
+    spans: list[list[int]] = []
+    for cp in points:
+        if spans and spans[-1][1] == cp - 1:
+            spans[-1][1] = cp
+        else:
+            spans.append([cp, cp])
+    return "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in spans)
+
+
 @lru_cache(maxsize=1)
 def _combining_class() -> str:
     """Inside of a regex class of the characters with a non-zero canonical combining class.
 
-    All of them are marks, so the class is "marks, minus the marks whose class is zero". The block
-    of common diacritics comes first, and the category test settles nearly everything else.
+    All of them are marks, so the class is "marks, minus the marks whose class is zero", plus those
+    newer than the JVM's character tables. The block of common diacritics comes first, and the
+    category tests settle nearly everything else.
     """
-    spacing = [
-        cp
-        for cp in range(sys.maxunicode + 1)
-        if unicodedata.category(chr(cp))[0] == "M" and not unicodedata.combining(chr(cp))
-    ]
-    ranges: list[list[int]] = []
-    for cp in spacing:
-        if ranges and ranges[-1][1] == cp - 1:
-            ranges[-1][1] = cp
-        else:
-            ranges.append([cp, cp])
-    kept = "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in ranges)
-    return f"\\x{{300}}-\\x{{34e}}\\x{{350}}-\\x{{36f}}[\\p{{M}}&&[^{kept}]]"
+    points = range(sys.maxunicode + 1)
+    combining = [cp for cp in points if unicodedata.combining(chr(cp))]
+    spacing = [cp for cp in points if unicodedata.category(chr(cp))[0] == "M" and not unicodedata.combining(chr(cp))]
+    common = _ranges([cp for cp in combining if cp < 0x370])
+    return f"{common}[\\p{{M}}&&[^{_ranges(spacing)}]][\\p{{Cn}}&&[{_ranges(combining)}]]"
 
 
 def _without(col: Column, characters: str, *, decompose: bool) -> Column:

@@ -5,9 +5,9 @@ Every figure about every column comes from one pass whose sums are combined befo
 
 from __future__ import annotations
 
-from functools import reduce
+import sys
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,24 +154,44 @@ def missing_values_report(
 def first_values(table: DataFrame, *, n: int = 3, row_id: str = ROW_ID) -> DataFrame:
     """The first ``n`` present values of each column in row order, joined by commas.
 
-    Each column is its own small top-n over two columns of the source, so a columnar file is read
-    about once in total and nothing but n rows per task moves.
+    The first row of each of a few hash buckets gives, per column, a row id that at least ``n``
+    values do not exceed. A second pass then ranks just the values up to that row. Neither pass
+    sorts or moves more than a handful of rows per task and column.
     """
-
-    def head(place: int, field: T.StructField) -> DataFrame:
-        col = quoted(field.name)
-        return (
-            table.filter(~is_missing(col, field.dataType))
-            .select(F.lit(place).alias("ordinal"), F.col(row_id).alias("at"), display(col, field.dataType).alias("value"))
-            .orderBy("at")
-            .limit(n)
-        )
-
     fields = _fields(table, row_id)
-    heads = reduce(DataFrame.unionAll, [head(place, field) for place, field in enumerate(fields)])
+    values = {
+        f"c{i}": F.when(~is_missing(quoted(f.name), f.dataType), display(quoted(f.name), f.dataType))
+        for i, f in enumerate(fields)
+    }
+
+    def cells(rows: DataFrame) -> DataFrame:
+        named = rows.select(F.col(row_id).alias("at"), *[value.alias(name) for name, value in values.items()])
+        return named.unpivot(["at"], list(values), "cell", "value").filter(F.col("value").isNotNull())
+
+    buckets = F.pmod(F.xxhash64("at"), F.lit(64 * n))
+    limits = (
+        cells(table)
+        .groupBy("cell", buckets.alias("bucket"))
+        .agg(F.min("at").alias("at"))
+        .groupBy("cell")
+        .agg(F.get(F.array_sort(F.collect_list("at")), F.lit(n - 1)).alias("limit"))
+        .select("cell", F.coalesce("limit", F.lit(sys.maxsize)).alias("limit"))
+    )
+    horizon = limits.agg(F.max("limit").alias("limit")).scalar()
+    first = Window.partitionBy("cell").orderBy("at")
+    heads = (
+        cells(table.filter(F.col(row_id) <= horizon))
+        # One row per column of the table: as small as the header.
+        .join(F.broadcast(limits), "cell")
+        .filter(F.col("at") <= F.col("limit"))
+        .withColumn("place", F.row_number().over(first))
+        .filter(F.col("place") <= n)
+    )
     ordered = F.array_sort(F.collect_list(F.struct("at", "value")))
-    return heads.groupBy("ordinal").agg(
-        F.array_join(F.transform(ordered, lambda e: e["value"]), ", ").alias("sample_values")
+    return (
+        heads.groupBy("cell")
+        .agg(F.array_join(F.transform(ordered, lambda e: e["value"]), ", ").alias("sample_values"))
+        .select(F.substring("cell", 2, 9).cast("int").alias("ordinal"), "sample_values")
     )
 
 
