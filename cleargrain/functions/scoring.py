@@ -26,19 +26,24 @@ PART_FROM = 1.5
 FAR_PART_ABOVE = 8.0
 
 
-def _positions(text: str) -> dict[str, int]:
-    marks: dict[str, int] = {}
-    for place, ch in enumerate(text):
-        marks[ch] = marks.get(ch, 0) | (1 << place)
-    return marks
-
-
 def _indel(a: str, b: str) -> int:
     """Insertions plus deletions between two strings, by bit-parallel longest common subsequence."""
     if a == b:
         return 0
-    marks, full = _positions(a), (1 << len(a)) - 1
-    open_bits = full
+    # What both begin and end with is common to them; names of one block mostly share a beginning.
+    start, shorter = 0, min(len(a), len(b))
+    while start < shorter and a[start] == b[start]:
+        start += 1
+    end, shorter = 0, shorter - start
+    while end < shorter and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not a or not b:
+        return len(a) + len(b)
+    marks: dict[str, int] = {}
+    for place, ch in enumerate(a):
+        marks[ch] = marks.get(ch, 0) | (1 << place)
+    open_bits = full = (1 << len(a)) - 1
     for ch in b:
         hit = open_bits & marks.get(ch, 0)
         open_bits = ((open_bits + hit) | (open_bits - hit)) & full

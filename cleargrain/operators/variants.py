@@ -18,8 +18,8 @@ EXACT_REASON = "Values become identical after deterministic text normalization."
 FUZZY_REASON = "RapidFuzz WRatio on normalized organization names within the same block."
 PREFIX_LENGTH, TOKEN_LENGTH, INITIALS, LENGTH_STEP = 6, 8, 4, 5
 MAX_BLOCK_SIZE = 750
-# A block with more pairs than this is compared by several tasks.
-PAIRS_PER_TASK = 16_384
+# A block with more pairs than this is cut into slices, compared by tasks of their own.
+PAIRS_PER_TASK = 4_096
 
 MATCH_SCHEMA = T.StructType(
     [
