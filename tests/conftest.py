@@ -18,8 +18,10 @@ def spark():
         .appName("tests")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
+        # A few thousand rows per query: compiling each stage would take most of the time.
+        .config("spark.sql.codegen.wholeStage", "false")
     )
-    session = configure(builder, shuffle_partitions=8).getOrCreate()
+    session = configure(builder, shuffle_partitions=4).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
