@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op10_byte_bpe
 from .minhash import op7_minhash_near_dedup
+from .mixing import op6_source_mixing
 from .suffix_index import op1_suffix_array_dedup
 
 QUERIES = {
     q.__name__: q
     for q in (
         op1_suffix_array_dedup,
+        op6_source_mixing,
         op7_minhash_near_dedup,
         op10_byte_bpe,
     )
