@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op10_byte_bpe
+from .digest import op9_document_fingerprints
 from .minhash import op7_minhash_near_dedup
 from .mixing import op6_source_mixing
 from .suffix_index import op1_suffix_array_dedup
@@ -13,6 +14,7 @@ QUERIES = {
         op1_suffix_array_dedup,
         op6_source_mixing,
         op7_minhash_near_dedup,
+        op9_document_fingerprints,
         op10_byte_bpe,
     )
 }

@@ -50,12 +50,13 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw, at - at[0]
 
 
-def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes each, or of one row."""
+def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES, rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``rows`` rows and ``limit`` bytes each, or of one row."""
     row, last = 0, len(offsets) - 1
     while row < last:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
-        yield row, min(end, last)
+        end = min(end, row + rows, last)
+        yield row, end
         row = end
 
 
