@@ -143,3 +143,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarra
         else:
             out.append(np.empty(0, np.uint64))
     return out
+
+
+def bounded_sample(rows: DataFrame, most: int, seed: str) -> DataFrame:
+    """About ``most`` of the rows, or all if there are fewer, chosen by a hash of ``doc_id``."""
+    total = rows.count()
+    if total <= most:
+        return rows
+    scale = 1 << 40
+    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(scale)) < int(scale * most / total))
