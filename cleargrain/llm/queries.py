@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from .bpe import op10_byte_bpe
 from .digest import op9_document_fingerprints
+from .language import op4_language_id
 from .minhash import op7_minhash_near_dedup
 from .mixing import op6_source_mixing
+from .quality import op5_quality_classifier
 from .suffix_index import op1_suffix_array_dedup
 
 QUERIES = {
     q.__name__: q
     for q in (
         op1_suffix_array_dedup,
+        op4_language_id,
+        op5_quality_classifier,
         op6_source_mixing,
         op7_minhash_near_dedup,
         op9_document_fingerprints,
