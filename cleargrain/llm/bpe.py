@@ -65,6 +65,13 @@ class Vocabulary:
         self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
         self.token_bytes = np.frombuffer(b"".join(by_rank), np.uint8)
 
+    @classmethod
+    def shared(cls, parts: dict) -> Vocabulary:
+        """One whose arrays came with a broadcast."""
+        it = object.__new__(cls)
+        it.__dict__.update(parts)
+        return it
+
     def merge_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         wanted = left * self.size + right
         at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
@@ -199,13 +206,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, keep_ids: bool = F
     read once, on the driver, and travel as a broadcast of a few megabytes, whatever the data.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Vocabulary(read_ranks(ranks_path)))
+    shared = spark.sparkContext.broadcast(vars(Vocabulary(read_ranks(ranks_path))))
     carried = [c for c in docs.columns if c != "text"]
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text") + added
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, split = shared.value, regex.compile(pattern)
+        vocabulary, split = Vocabulary.shared(shared.value), regex.compile(pattern)
         numbers: defaultdict[str, int] = defaultdict()
         numbers.default_factory = numbers.__len__
         number = numbers.__getitem__
@@ -275,12 +282,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, keep_ids: bool = F
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """The bytes that each row's ``ids`` stand for, as ``decoded`` binary; null ids give none."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(ranks_path)))
+    shared = encoded.sparkSession.sparkContext.broadcast(vars(Vocabulary(read_ranks(ranks_path))))
     names = encoded.columns
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in encoded.schema) + "decoded binary"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
+        vocabulary = Vocabulary.shared(shared.value)
         for batch in batches:
             own = [vocabulary.decode(np.array(ids or [], np.int64)).tobytes() for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], names=[*names, "decoded"])
