@@ -37,8 +37,9 @@ from .texts import blocks, documents, mix, random_words, shingles, text_bytes
 ROWS = 5
 MISS = 1e-6
 BATCH = 20
-# Nodes compared against as many in one step of a full bucket.
+# Nodes, and hashes of their sets, that a task compares against as many.
 TILE = 512
+TILE_HASHES = 1 << 20
 _NO_ID = -(1 << 63)
 
 
@@ -109,9 +110,10 @@ def _buckets(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
                 value = np.full(len(node), band + 1, np.uint64)
                 for k in range(band * rows, band * rows + rows):
                     value = mix(value * np.uint64(0x9E3779B97F4A7C15) + sig[:, k])
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(node)], names=["bucket", "node"])
+                bands_ = pa.array(np.full(len(node), band, np.int32))
+                yield pa.RecordBatch.from_arrays([bands_, pa.array(value.view(np.int64)), pa.array(node)], names=["band", "bucket", "node"])
 
-    return nodes.select("node", "sig").mapInArrow(read, "bucket long, node long")
+    return nodes.select("node", "sig").mapInArrow(read, "band int, bucket long, node long")
 
 
 def likely(left: np.ndarray, right: np.ndarray, floors: list[tuple[int, int]]) -> np.ndarray:
@@ -173,32 +175,66 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(read, "u long, v long")
 
 
-def _across(members: DataFrame, floors: list[tuple[int, int]]) -> DataFrame:
-    """Likely pairs of one bucket in different components, from tiles of at most TILE by TILE nodes.
+def _across(members: DataFrame, floors: list[tuple[int, int]], rows: int, percent: int) -> DataFrame:
+    """Links of one bucket between different components, found and verified tile by tile.
 
-    Nodes are dealt into ``tiles`` parts by hash; a part meets itself and every later part.
+    Nodes are dealt into ``tiles`` parts by hash; a part meets itself and every later part in a task
+    of its own, which holds two parts of bounded size. A pair is judged only in the first band it
+    shares, and of the links in a tile only those that connect something new are returned.
     """
     own = F.pmod(F.xxhash64("node"), F.col("tiles"))
     dealt = members.withColumn("tile", own)
-    rows = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")).select(
-        "bucket", "node", "component", "sig", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    parts = dealt.select("*", every.alias("other")).select(
+        "band", "bucket", "node", "component", "sig", "hashes", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")
     )
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
         sig = _matrix(table.column("sig").combine_chunks())
+        by_band = sig.reshape(len(sig), -1, rows)
         node, component, tile = (table.column(c).to_numpy() for c in ("node", "component", "tile"))
-        left, right = np.flatnonzero(tile == key[1].as_py()), np.flatnonzero(tile == key[2].as_py())
+        band = table.column("band")[0].as_py()
+        sets = [np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        starts = np.cumsum(sizes) - sizes
+        names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        marked = np.zeros(len(names), np.int64)
+        root = {c: c for c in component.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
         us, vs = [], []
-        for x in left:
+        for x in left.tolist():
             ys = right[component[right] != component[x]]
-            if key[1].as_py() == key[2].as_py():
+            if i == j:
                 ys = ys[node[ys] > node[x]]
+            if not len(ys):
+                continue
+            ys = ys[(by_band[ys] == by_band[x]).all(axis=2).argmax(axis=1) == band]
             ys = ys[likely(np.broadcast_to(sig[x], (len(ys), sig.shape[1])), sig[ys], floors)]
-            us.append(np.minimum(node[x], node[ys]))
-            vs.append(np.maximum(node[x], node[ys]))
-        return pa.table({"u": np.concatenate(us or [node[:0]]), "v": np.concatenate(vs or [node[:0]])})
-
-    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+            if not len(ys):
+                continue
+            mine = flat[starts[x] : starts[x] + sizes[x]]
+            marked[mine] = 1
+            ends = np.cumsum(sizes[ys])
+            at = np.repeat(starts[ys] - (ends - sizes[ys]), sizes[ys]) + np.arange(ends[-1])
+            both = np.add.reduceat(marked[flat[at]], ends - sizes[ys])
+            marked[mine] = 0
+            for y in ys[100 * both >= percent * (sizes[x] + sizes[ys] - both)].tolist():
+                a, b = top(int(component[x])), top(int(component[y]))
+                if a != b:
+                    root[a] = b
+                    us.append(min(node[x], node[y]))
+                    vs.append(max(node[x], node[y]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return parts.groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long").distinct()
 
 
 def near_duplicates(
@@ -219,7 +255,9 @@ def near_duplicates(
 
     plain = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sets = stored(_signatures(plain.select("doc_id", "text"), shingle, bands * rows), "sets")
-    nodes = sets.filter("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig"))
+    nodes = sets.filter("n_shingles > 0").groupBy("a", "b").agg(
+        F.min("doc_id").alias("first"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")
+    )
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     buckets = _buckets(nodes, bands, rows)
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -241,15 +279,21 @@ def near_duplicates(
     links = stored(_verified(likely_pairs, full, percent), "links")
     found = connected_components(links)
 
-    labelled = shared.join(found, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
+    labelled = shared.join(nodes.select("node", "n_shingles"), "node").join(found, "node", "left")
+    labelled = labelled.select("band", "bucket", "node", "size", "n_shingles", F.coalesce("component", "node").alias("component"))
     open_buckets = (
         labelled.groupBy("bucket")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("size").alias("size"))
+        .agg(
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+            F.max("size").alias("size"),
+            F.sum("n_shingles").alias("hashes"),
+        )
         .filter("size > 2 AND low <> high")
-        .select("bucket", F.ceil(F.col("size") / TILE).alias("tiles"))
+        .select("bucket", F.ceil(F.greatest(F.col("size") / TILE, F.col("hashes") / TILE_HASHES)).alias("tiles"))
     )
-    rest = labelled.drop("size").join(open_buckets, "bucket").join(sigs, "node")
-    more = stored(_verified(_across(rest, floors), full, percent), "more")
+    rest = labelled.drop("size", "n_shingles").join(open_buckets, "bucket").join(nodes.select("node", "sig"), "node").join(full, "node")
+    more = stored(_across(rest, floors, rows, percent), "more")
     links = spark.read.schema("u long, v long").parquet(f"{folder}/links", f"{folder}/more")
     found = connected_components(links) if not more.isEmpty() else found
 
