@@ -87,11 +87,11 @@ def _signatures(docs: DataFrame, size: int, values: int) -> DataFrame:
                     b.append(int(mix(hashes ^ np.uint64(0x5BF03635)).sum(dtype=np.uint64).view(np.int64)))
                     out.append(signature(hashes, seeds).tobytes() if len(hashes) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.binary())],
-                names=["doc_id", "n_shingles", "a", "b", "sig"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "a", "b", "sig"],
             )
 
-    return docs.mapInArrow(read, "doc_id long, n_shingles long, a long, b long, sig binary")
+    return docs.mapInArrow(read, "doc_id long, text_hash long, n_shingles long, a long, b long, sig binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -240,7 +240,7 @@ def _across(members: DataFrame, floors: list[tuple[int, int]], rows: int, percen
 def near_duplicates(
     docs: DataFrame, *, shingle: int = 5, percent: int = 80, rows: int = ROWS, miss: float = MISS
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per row; the smallest id of a component names it.
+    """``doc_id, n_shingles, component_id, kept, text_hash`` per row; the smallest id of a component names it.
 
     Two rows link when 100 * intersection >= ``percent`` * union of their sets of ``shingle`` words.    """
     spark = docs.sparkSession
@@ -254,7 +254,7 @@ def near_duplicates(
         return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
 
     plain = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = stored(_signatures(plain.select("doc_id", "text"), shingle, bands * rows), "sets")
+    sets = stored(_signatures(plain.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), shingle, bands * rows), "sets")
     nodes = sets.filter("n_shingles > 0").groupBy("a", "b").agg(
         F.min("doc_id").alias("first"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")
     )
@@ -301,12 +301,12 @@ def near_duplicates(
     of_node = of_node.select("a", "b", "component", "first")
     names = of_node.groupBy("component").agg(F.min("first").alias("component_id"))
     named = of_node.join(names, "component").select("a", "b", "component_id")
-    ids = sets.select("doc_id", "n_shingles", "a", "b").join(named, ["a", "b"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    ids = sets.select("doc_id", "text_hash", "n_shingles", "a", "b").join(named, ["a", "b"], "left").select(
+        "doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
     out = ids.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     return out.select(
-        *(F.nullif(F.col(c), F.lit(_NO_ID)).alias(c) if c != "n_shingles" else F.col(c) for c in ("doc_id", "n_shingles", "component_id")), "kept"
+        *(F.nullif(F.col(c), F.lit(_NO_ID)).alias(c) if c != "n_shingles" else F.col(c) for c in ("doc_id", "n_shingles", "component_id")), "kept", "text_hash"
     )
 
 
