@@ -15,7 +15,8 @@ log2(batches) times, whatever the number of batches.
 
 A run whose bytes all occur again needs nothing more. Where only the key is shared, a passage
 begins or ends inside the run, and its windows are compared one by one, each under 128 bits of
-fingerprint. The tables of the family are written to the shared folder, which cuts the lineage.
+fingerprint: in one task for keys with few runs, as counted rows for keys with many. The tables of
+the family are written to the shared folder, which cuts the lineage.
 
 Results for odd input: a null text is empty; a text shorter than ``length`` keeps all its bytes; a
 null ``doc_id`` is an id like any other; rows with the same id and text each count as a copy of the
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,13 @@ from .texts import BLOCK_BYTES, Rolling, blocks, documents, text_bytes
 
 LENGTH = 400
 BATCHES = 4
+# Runs with one key that a task compares at once; keys with more are compared window by window.
+TOGETHER = 4_096
 
-_RUNS = "key long, fp long, doc_id long, h long, start int, n int"
-_WINDOWS = "key long, window long, fp long, doc_id long, h long, start int"
+_RUNS = "key long, fp long, doc_id long, h int, start int, n int"
+_UNSURE = "key long, fp long, copies int, kinds long, doc_id long, h int, start int, bytes binary"
+_WINDOWS = "key long, window long, copies int, doc_id long, h int, start int"
+_SPANS = "doc_id long, h int, start int, stop int"
 _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -118,104 +124,149 @@ def suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 class SuffixIndexFamily:
-    """Suffix arrays in levels of doubling size, kept in a shared folder."""
+    """Suffix arrays in levels of doubling size, kept in a shared folder.
+
+    An array is stored in sorted buckets of ``key, fp``, so two levels merge without an exchange.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self.levels: dict[int, str] = {}
+        self.levels: dict[int, tuple[str, DataFrame]] = {}
         self._written = 0
 
-    def _store(self, table: DataFrame) -> str:
-        path = f"{self.folder}/array-{self._written}"
+    def _store(self, table: DataFrame) -> tuple[str, DataFrame]:
+        path, name = f"{self.folder}/array-{self._written}", f"suffix_array_{uuid4().hex}"
         self._written += 1
-        table.sortWithinPartitions("key", "fp").write.parquet(path)
-        return path
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table.write.bucketBy(buckets, "key", "fp").sortBy("key", "fp").option("path", path).saveAsTable(name)
+        array = self.spark.table(name)
+        array.schema  # resolved now: the files stay when the catalog entry goes
+        self.spark.sql(f"DROP TABLE {name}")
+        return path, array
 
     def _drop(self, path: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
-    def add(self, entries: DataFrame) -> list[DataFrame]:
-        """Take in a batch; returns, per scan, the keys of its long matches."""
-        spark = self.spark
-        array = (
-            entries.withColumn("pick", F.xxhash64("doc_id", "h", "start"))
+    def add(self, entries: DataFrame) -> DataFrame:
+        """Take in a batch; returns the keys of its long matches, inside it or with a level."""
+        path, array = self._store(
+            entries.withColumn("pick", F.hash("doc_id", "h", "start"))
             .groupBy("key", "fp")
-            .agg(F.count(F.lit(1)).alias("copies"), F.min("pick").alias("pick"))
+            .agg(F.count(F.lit(1)).cast("int").alias("copies"), F.min("pick").alias("pick"))
         )
-        path = self._store(array)
-        array = spark.read.parquet(path)
         keys = array.groupBy("key").agg(F.sum("copies").alias("copies"))
-        found = [keys.filter("copies > 1").select("key")]
-        found += [spark.read.parquet(p).select("key").join(keys, "key", "left_semi") for p in self.levels.values()]
+        matches = keys.filter("copies > 1").select("key")
+        for _, level in self.levels.values():
+            matches = matches.union(level.select("key").join(keys, "key", "left_semi"))
         scanned = f"{self.folder}/matches-{self._written}"
-        matches = found[0]
-        for more in found[1:]:
-            matches = matches.union(more)
         matches.distinct().write.parquet(scanned)
         size = 0
         while size in self.levels:
-            other = self.levels.pop(size)
-            merged = (
-                spark.read.parquet(path, other)
-                .groupBy("key", "fp")
-                .agg(F.sum("copies").alias("copies"), F.min("pick").alias("pick"))
+            old, level = self.levels.pop(size)
+            more = array.withColumnsRenamed({"copies": "copies_2", "pick": "pick_2"})
+            merged = level.join(more, ["key", "fp"], "full").select(
+                "key",
+                "fp",
+                (F.coalesce("copies", F.lit(0)) + F.coalesce("copies_2", F.lit(0))).alias("copies"),
+                F.least("pick", "pick_2").alias("pick"),
             )
-            both, path = (path, other), self._store(merged)
-            for old in both:
-                self._drop(old)
+            both, (path, array) = (path, old), self._store(merged)
+            for gone in both:
+                self._drop(gone)
             size += 1
-        self.levels[size] = path
-        return [spark.read.parquet(scanned)]
+        self.levels[size] = path, array
+        return self.spark.read.parquet(scanned)
 
     def entries(self) -> DataFrame:
         """All entries of the family."""
-        arrays = self.spark.read.parquet(*self.levels.values())
-        return arrays.groupBy("key", "fp").agg(F.sum("copies").alias("copies"), F.min("pick").alias("pick"))
+        arrays = [array for _, array in self.levels.values()]
+        if len(arrays) == 1:
+            return arrays[0]
+        every = arrays[0]
+        for array in arrays[1:]:
+            every = every.union(array)
+        return every.groupBy("key", "fp").agg(F.sum("copies").cast("int").alias("copies"), F.min("pick").alias("pick"))
 
 
-def _window_prints(docs: DataFrame, length: int) -> DataFrame:
-    """The print of every window of the runs listed in ``runs`` (start, n, key, fp) of each row."""
+def _run_bytes(docs: DataFrame, length: int) -> DataFrame:
+    """One row per run listed in ``runs`` (key, fp, copies, kinds, start, n) of each row, with its bytes."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            runs, doc_id, h = batch.column("runs"), batch.column("doc_id"), batch.column("h")
-            bounds = runs.offsets.to_numpy()
+            data, offsets = text_bytes(batch.column("row").field("text"))
+            runs = batch.column("runs")
             flat = runs.flatten()
-            start, n, key, fp = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "key", "fp"))
-            base = bounds[0]
-            out: list[tuple] = []
-            for row in range(len(doc_id)):
-                own = data[offsets[row] : offsets[row + 1]]
-                for k in range(bounds[row] - base, bounds[row + 1] - base):
-                    a, b = int(start[k]), int(start[k] + n[k])
-                    prints = Rolling(own[a : b + length - 1]).windows(length)
-                    out.append((row, k, np.arange(a, b, dtype=np.int32), prints.view(np.int64)))
-                    if len(out) == 2_000:
-                        yield from _flush(out, key, fp, doc_id, h)
-                        out = []
-            yield from _flush(out, key, fp, doc_id, h)
-
-    return docs.mapInArrow(read, _WINDOWS)
-
-
-def _flush(out: list[tuple], key: np.ndarray, fp: np.ndarray, doc_id: pa.Array, h: pa.Array) -> Iterator[pa.RecordBatch]:
-    if not out:
-        return
-    sizes = [len(o[2]) for o in out]
-    rows, which = np.repeat([o[0] for o in out], sizes), np.repeat([o[1] for o in out], sizes)
-    starts, prints = np.concatenate([o[2] for o in out]), np.concatenate([o[3] for o in out])
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(key[which]),
-            pa.array(prints),
-            pa.array(fp[which]),
-            doc_id.take(pa.array(rows)),
-            h.take(pa.array(rows)),
-            pa.array(starts),
-        ],
-        names=["key", "window", "fp", "doc_id", "h", "start"],
+            sizes = np.diff(runs.offsets.to_numpy())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            begin = offsets[row] + flat.field("start").to_numpy(zero_copy_only=False)
+            end = begin + flat.field("n").to_numpy(zero_copy_only=False) + length - 1
+            own = pa.array([data[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [flat.field(c) for c in ("key", "fp", "copies", "kinds")]
+                + [batch.column("doc_id").take(rows), batch.column("h").take(rows), flat.field("start"), own],
+                names=["key", "fp", "copies", "kinds", "doc_id", "h", "start", "bytes"],
+            )
+
+    return docs.mapInArrow(read, _UNSURE)
+
+
+def _repeats_together(unsure: DataFrame, length: int) -> DataFrame:
+    """Spans of the windows that two runs of one key share, for keys with few runs."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        fp, copies, start = (table.column(c).to_numpy() for c in ("fp", "copies", "start"))
+        prints = [Rolling(np.frombuffer(b, np.uint8)).windows(length) for b in table.column("bytes").to_pylist()]
+        _, once = np.unique(fp, return_index=True)
+        values, counts = np.unique(np.concatenate([prints[k] for k in once]), return_counts=True)
+        twice = values[counts > 1]
+        rows, starts, stops = [], [], []
+        for k in np.flatnonzero(copies == 1) if len(twice) else ():
+            at = np.flatnonzero(np.isin(prints[k], twice))
+            if len(at):
+                new = np.concatenate(([True], np.diff(at) > 1))
+                starts.append(at[new] + start[k])
+                stops.append(at[np.concatenate((new[1:], [True]))] + start[k] + length)
+                rows += [k] * int(new.sum())
+        rows = pa.array(rows, pa.int64())
+        return pa.table(
+            {
+                "doc_id": table.column("doc_id").take(rows),
+                "h": table.column("h").take(rows),
+                "start": pa.array(np.concatenate(starts or [[]]).astype(np.int32)),
+                "stop": pa.array(np.concatenate(stops or [[]]).astype(np.int32)),
+            }
+        )
+
+    return unsure.groupBy("key").applyInArrow(compare, _SPANS)
+
+
+def _repeats_apart(unsure: DataFrame, length: int) -> DataFrame:
+    """The same for keys with any number of runs: windows are counted and joined back, however many."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                start = part.column("start").to_numpy()
+                prints = [Rolling(np.frombuffer(b, np.uint8)).windows(length) for b in part.column("bytes").to_pylist()]
+                sizes = [len(p) for p in prints]
+                rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                places = np.concatenate([np.arange(n) + a for n, a in zip(sizes, start, strict=True)] or [start])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key").take(rows), pa.array(np.concatenate(prints or [start]).view(np.int64))]
+                    + [part.column(c).take(rows) for c in ("copies", "doc_id", "h")]
+                    + [pa.array(places.astype(np.int32))],
+                    names=["key", "window", "copies", "doc_id", "h", "start"],
+                )
+
+    windows = unsure.mapInArrow(read, _WINDOWS)
+    twice = windows.groupBy("key", "window").agg(F.count(F.lit(1)).alias("runs")).filter("runs > 1").select("key", "window")
+    return (
+        windows.filter("copies = 1")
+        .join(twice, ["key", "window"])
+        .select("doc_id", "h", "start", (F.col("start") + length).alias("stop"))
     )
 
 
@@ -228,12 +279,13 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[new], ends[last]
 
 
-def _cut(docs: DataFrame, keep_text: bool) -> DataFrame:
-    """Texts without the bytes of their ``spans`` (start, stop)."""
+def _cut(docs: DataFrame, carry: tuple[str, ...], keep_text: bool) -> DataFrame:
+    """Texts of ``row`` without the bytes of their ``spans`` (start, stop); carried columns come from ``row`` too."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
+            row_ = batch.column("row")
+            data, offsets = text_bytes(row_.field("text"))
             spans = batch.column("spans")
             bounds, flat = spans.offsets.to_numpy(), spans.flatten()
             start, stop = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop"))
@@ -262,13 +314,12 @@ def _cut(docs: DataFrame, keep_text: bool) -> DataFrame:
                     pa.array(prints, pa.string()),
                     pa.array(kept, pa.binary()),
                 ]
-                + [batch.column(c) for c in batch.schema.names if c not in ("doc_id", "h", "text", "spans")],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-                + [c for c in batch.schema.names if c not in ("doc_id", "h", "text", "spans")],
+                + [row_.field(c) for c in carry],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *carry],
             )
 
-    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("doc_id", "h", "text", "spans"))
-    return docs.mapInArrow(read, _KEPT + extra)
+    types = {f.name: f.dataType.simpleString() for f in docs.schema["row"].dataType}
+    return docs.mapInArrow(read, _KEPT + "".join(f", `{c}` {types[c]}" for c in carry))
 
 
 def remove_repeats(
@@ -283,47 +334,56 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "suffixes")
-    docs = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"), *carry)
-    plain = docs.select("doc_id", "h", "text")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    plain = docs.select("doc_id", F.hash("text").alias("h"), text)
+    # Both joins below take whole rows, so that they share one exchange of the texts.
+    docs = docs.select("doc_id", F.hash("text").alias("h"), F.struct(text, *carry).alias("row"))
     batch = F.pmod(F.xxhash64("doc_id", "h"), F.lit(batches)).cast("int").alias("batch")
     suffixes(plain, length).select("*", batch).write.partitionBy("batch").parquet(f"{folder}/entries")
     occurrences = spark.read.schema(f"{_RUNS}, batch int").parquet(f"{folder}/entries")
 
     family, matches = SuffixIndexFamily(spark, folder), None
     for k in range(batches):
-        for found in family.add(occurrences.filter(F.col("batch") == k).drop("batch")):
-            matches = found if matches is None else matches.union(found)
+        found = family.add(occurrences.filter(F.col("batch") == k).drop("batch"))
+        matches = found if matches is None else matches.union(found)
     entries = family.entries().join(matches.distinct(), "key", "left_semi")
     kinds = entries.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
     entries = entries.join(kinds, "key").select("key", "fp", "copies", "pick", "kinds")
-    repeated = f"{folder}/repeated"
-    occurrences.drop("batch").join(entries, ["key", "fp"]).write.parquet(repeated)
-    repeated = spark.read.parquet(repeated)
+    occurrences.drop("batch").join(entries, ["key", "fp"]).write.parquet(f"{folder}/repeated")
+    repeated = spark.read.parquet(f"{folder}/repeated")
 
     spans = repeated.filter("copies > 1").select(
         "doc_id", "h", "start", (F.col("start") + F.col("n") + (length - 1)).alias("stop")
     )
-    unsure = (
-        repeated.filter((F.col("kinds") > 1) & ((F.col("copies") == 1) | (F.xxhash64("doc_id", "h", "start") == F.col("pick"))))
-        .groupBy("doc_id", "h")
-        .agg(F.collect_list(F.struct("start", "n", "key", "fp")).alias("runs"))
-    )
-    here = [plain.doc_id.eqNullSafe(unsure.doc_id), plain.h == unsure.h]
-    windows = _window_prints(plain.join(unsure, here).select(plain.doc_id, plain.h, "text", "runs"), length)
-    twice = (
-        windows.groupBy("key", "window")
-        .agg(F.min("fp").alias("least"), F.max("fp").alias("most"))
-        .filter("least <> most")
-        .select("key", "window")
-    )
-    found = windows.join(twice, ["key", "window"]).select(
-        "doc_id", "h", "start", (F.col("start") + length).alias("stop")
-    )
-    all_spans = spans.union(found).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    # One run stands for its copies.
+    stands = (F.col("copies") == 1) | (F.hash("doc_id", "h", "start") == F.col("pick"))
+    listed = repeated.filter((F.col("kinds") > 1) & stands)
+    unsure = listed.groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "fp", "copies", "kinds", "start", "n")).alias("runs"))
+    here = [docs.doc_id.eqNullSafe(unsure.doc_id), docs.h == unsure.h]
+    unsure = _run_bytes(docs.join(unsure, here).select(docs.doc_id, docs.h, "row", "runs"), length)
+    few = F.col("kinds") <= TOGETHER
+    spans = spans.union(_repeats_together(unsure.filter(few), length))
+    if not listed.filter(~few).isEmpty():
+        many = unsure.filter(~few).dropDuplicates(["key", "fp"])
+        spans = spans.union(_repeats_apart(many, length))
+    all_spans = spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = docs.join(all_spans, [docs.doc_id.eqNullSafe(all_spans.doc_id), docs.h == all_spans.h], "left").select(
-        docs.doc_id, docs.h, "text", F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"), *carry
+        docs.doc_id, docs.h, "row", F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans")
     )
-    return _cut(joined, keep_text)
+    return _cut(joined, carry, keep_text)
+
+
+def as_text(cut: DataFrame) -> DataFrame:
+    """Adds ``text`` to rows with the bytes ``kept``; bytes that no longer form a character are left out."""
+    names = [c for c in cut.columns if c != "kept"]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in cut.schema if f.name != "kept") + "text string"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(b or b"").decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "text"])
+
+    return cut.mapInArrow(read, schema)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
