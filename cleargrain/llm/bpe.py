@@ -205,6 +205,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, keep_ids: bool = F
     Adds ``n_tokens, ids_sha256, decoded_sha256`` and, with ``keep_ids``, ``ids``. The ranks are
     read once, on the driver, and travel as a broadcast of a few megabytes, whatever the data.
     """
+    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "ids")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vars(Vocabulary(read_ranks(ranks_path))))
     carried = [c for c in docs.columns if c != "text"]

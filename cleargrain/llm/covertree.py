@@ -69,7 +69,8 @@ def cover_tree(points: np.ndarray) -> Node:
 
 def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
     """For each query the k best (score, id), ties to the smaller id, its own id left out."""
-    exact = max(1.0, np.abs(queries).max(initial=0)) * max(1.0, np.abs(data).max(initial=0)) * max(1, data.shape[1]) < 2**52
+    most = [max(1.0, float(np.abs(x.astype(np.float64)).max(initial=0))) for x in (queries, data)]
+    exact = most[0] * most[1] * max(1, data.shape[1]) < 2.0**52
     # The trees use floats; scores that need more digits than these have are computed with whole numbers.
     q, d = queries.astype(np.float64), data.astype(np.float64)
     best: list[list[tuple[int, int]]] = [[] for _ in query_ids]
@@ -106,7 +107,7 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, id
                         once.setdefault(name, score)
                     best[row] = [(score, name) for name, score in list(once.items())[:k]]
                     if len(best[row]) == k:
-                        kth[row] = float(best[row][-1][0])
+                        kth[row] = float(best[row][-1][0]) if exact else np.nextafter(float(best[row][-1][0]), -np.inf)
             continue
         for x, y in pairs:
             value = bound(x, y)

@@ -94,6 +94,7 @@ def likeness(left: str, right: str) -> float:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Adds the digest of ``text`` as ``fingerprint``; the text is dropped, all else carried."""
+    docs = docs.drop("fingerprint")
     carried = [c for c in docs.columns if c != "text"]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text") + "fingerprint string"
 

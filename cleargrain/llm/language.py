@@ -100,6 +100,7 @@ def learn(labelled: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> tuple[l
 
 def predict(docs: DataFrame, languages: list[str], logs: np.ndarray) -> DataFrame:
     """Adds ``lang_pred`` and ``score``, its probability, to rows with a ``text``, which is dropped."""
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(logs)
     carried = [c for c in docs.columns if c != "text"]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text") + "lang_pred string, score double"

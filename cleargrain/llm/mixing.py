@@ -13,7 +13,7 @@ The random numbers are hashes of id and text, so reruns agree.
 Results for odd input: a null text has size 0 and is never taken; a null source is a source of its
 own, last in order; a null id sorts first; rows equal in id and text that straddle the end of the
 sample share what is left in equal whole words; an empty table gives an empty result; other columns
-are passed on, but for names that end in ``_`` and the added ones.
+are passed on, but for those named like the added ones.
 """
 
 from __future__ import annotations
@@ -149,7 +149,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "mix")
-    rows = sized(docs)
+    added = ("size", "source_size", "target", "taken")
+    # The caller's columns travel in a struct, out of the way of the working ones.
+    whole = F.struct(*(c for c in docs.columns if c not in added)).alias("whole_")
+    rows = sized(docs.select("doc_id", "text", "source", whole))
     rows.select("doc_id", "source_", "size", "hash_", "random_").write.parquet(f"{folder}/sizes")
     lean = spark.read.parquet(f"{folder}/sizes")
     targets(lean, weights, share, most).write.parquet(f"{folder}/targets")
@@ -159,7 +162,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     at = _order()
     sampled = F.when(F.col("end").isNull() | (at < F.col("end")), F.col("size")).when(at == F.col("end"), F.col("left_")).otherwise(0)
     taken = F.when(F.col("size") > 0, F.col("copies") * F.col("size") + sampled).otherwise(0).cast("long")
-    return joined.withColumn("taken", taken).select(*docs.columns, "size", "source_size", "target", "taken")
+    return joined.withColumn("taken", taken).select("whole_.*", *added)
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

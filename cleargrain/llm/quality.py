@@ -176,6 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Adds ``score`` and ``predicted``; other columns, the text too, are carried."""
+    docs = docs.drop("score", "predicted")
     names = docs.columns
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema) + "score double, predicted int"
 

@@ -221,6 +221,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``score``, ``predicted`` and ``offending``: the sentences that reach the threshold alone,
     or else the highest of a document that reaches it, as byte spans. ``text`` is dropped, all else carried."""
+    docs = docs.drop("score", "predicted", "offending")
     carried = [c for c in docs.columns if c != "text"]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
     schema += "score double, predicted int, offending array<struct<start:bigint,stop:bigint,score:double>>"
