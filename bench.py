@@ -29,9 +29,9 @@ HEADLINE = [
     "d6_duplicate_groups",
     "v1_value_counts",
     "v3_exact_matches",
-    "v7_candidate_pairs_capped",
+    "v8_scored_pairs",
     "v11_variant_report",
-    "v11_variant_report_capped",
+    "v11_variant_report_trade",
     "c4_cleaned_table",
     "l3_key_figures",
     "l4_owner_chart",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scoring import edit_similarity, may_reach, similarity, word_key
+from ..functions.scoring import edit_similarity, may_reach, similarity, strongest_in_tiles, word_key
 from ..functions.text import normalize, quoted, strip
 from ..functions.values import ScoreBands, score_status
 from .roles import DEFAULT_ROLES, Roles, require_primary_organization
@@ -17,9 +17,8 @@ FUZZY_BASIS = "fuzzy_blocked_match"
 EXACT_REASON = "Values become identical after deterministic text normalization."
 FUZZY_REASON = "RapidFuzz WRatio on normalized organization names within the same block."
 PREFIX_LENGTH, TOKEN_LENGTH, INITIALS, LENGTH_STEP = 6, 8, 4, 5
-MAX_BLOCK_SIZE = 750
-# A block with more pairs than this is cut into slices, compared by tasks of their own.
-PAIRS_PER_TASK = 4_096
+# A block is cut into parts of about this many names; each two parts are compared by a task of their own.
+PART_NAMES = 512
 
 MATCH_SCHEMA = T.StructType(
     [
@@ -136,68 +135,72 @@ def block_members(names: DataFrame) -> DataFrame:
     return names.withColumn("block", F.explode(block_keys(F.col("normalized_value"))))
 
 
-def capped_blocks(members: DataFrame, max_block_size: int = MAX_BLOCK_SIZE, slices: int = 32) -> DataFrame:
-    """The most used, then longest, names of each block, up to its size limit.
-
-    Ranking happens in two rounds: slices of a block first, then what is left of them, so a block
-    holding most of the names never sits in one task.
-    """
-    best_first = [F.desc("frequency"), F.desc(F.char_length("original_value")), F.asc("normalized_value")]
-    sliced = Window.partitionBy("block", "slice").orderBy(*best_first)
-    whole = Window.partitionBy("block").orderBy(*best_first)
+def _with_parts(members: DataFrame) -> DataFrame:
+    """Members of blocks of two or more, with the number of parts of the block and the name's own part."""
+    sizes = members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PART_NAMES).alias("parts"), F.count(F.lit(1)).alias("size"))
     return (
-        members.withColumn("slice", F.pmod(F.xxhash64("normalized_value"), F.lit(slices)))
-        .withColumn("place", F.row_number().over(sliced))
-        .filter(F.col("place") <= max_block_size)
-        .withColumn("place", F.row_number().over(whole))
-        .filter(F.col("place") <= max_block_size)
-        .drop("slice", "place")
+        members.join(sizes.filter("size > 1").drop("size"), "block")
+        .withColumn("part", F.pmod(F.xxhash64("normalized_value"), F.col("parts")))
     )
 
 
+def _other_parts() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+
+
 def _paired(members: DataFrame) -> DataFrame:
     """Pairs of names that share a block, each produced in exactly one block.
 
-    Every name carries the sorted keys it kept, and a pair counts only in the first key its names
-    share: no pair has to be exchanged to find that it was already seen. The left names of a large
-    block are cut into slices, each of which meets all its right names in a task of its own.
+    A pair counts only in the first of its names' keys that it shares: no pair has to be exchanged
+    to find that it was already seen. Both sides of a large block are dealt into parts, and each two
+    parts meet in a group of their own.
     """
-    spark = members.sparkSession
-    sizes = Window.partitionBy("block")
-    slices = F.ceil(F.col("size") * F.col("size") / (2 * PAIRS_PER_TASK)).cast("int")
-    kept = (
-        members.withColumn("size", F.count(F.lit(1)).over(sizes))
-        .filter("size > 1")
-        .groupBy("normalized_value", "original_value", "frequency")
-        .agg(F.array_sort(F.collect_list(F.struct("block", slices.alias("slices")))).alias("kept"))
-        .select(
-            "normalized_value",
-            "original_value",
-            "frequency",
-            word_key(F.col("normalized_value")).alias("word_key"),
-            F.col("kept.block").alias("blocks"),
-            F.explode("kept").alias("at"),
-        )
-        .select("*", "at.block", "at.slices")
-        .drop("at")
+    named = _with_parts(members).select(
+        "block",
+        "parts",
+        "part",
+        "normalized_value",
+        "original_value",
+        "frequency",
+        word_key(F.col("normalized_value")).alias("word_key"),
+        F.array_sort(block_keys(F.col("normalized_value"))).alias("blocks"),
     )
-    # Few bytes here make many pairs there: fix the number of tasks, so that the adaptive planner
-    # does not fold small inputs into one.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    one_slice = F.pmod(F.xxhash64("normalized_value"), F.col("slices")).cast("int")
-    every_slice = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    left = kept.withColumn("slice", one_slice).repartition(tasks, "block", "slice").alias("l")
-    right = kept.withColumn("slice", every_slice).repartition(tasks, "block", "slice").alias("r")
+    left = named.select("*", F.col("part").alias("i"), _other_parts().alias("j")).alias("l")
+    right = named.select("*", F.col("part").alias("j"), _other_parts().alias("i")).alias("r")
     first_shared = F.array_min(F.array_intersect("l.blocks", "r.blocks"))
     return left.join(
         right,
         (F.col("l.block") == F.col("r.block"))
-        & (F.col("l.slice") == F.col("r.slice"))
+        & (F.col("l.i") == F.col("r.i"))
+        & (F.col("l.j") == F.col("r.j"))
         & (F.col("l.normalized_value") < F.col("r.normalized_value"))
         & (F.col("l.block") == first_shared),
     )
 
 
+def strongest_pairs(members: DataFrame, min_similarity: float = 80.0) -> DataFrame:
+    """For each name its best pair with a preferred name, per two parts of a block.
+
+    Every pair of a block is considered, in tasks that hold two parts: bounds computed for all pairs
+    of a tile leave few to score, and at most one pair per name and tile is returned, however many
+    reach the minimum.
+    """
+    keys = block_keys(F.col("normalized_value"))
+    dealt = _with_parts(members.withColumn("keys", keys)).withColumn("place", F.array_position("keys", F.col("block")).cast("int") - 1)
+    tiles = dealt.select("*", _other_parts().alias("other")).select(
+        "block",
+        F.least("part", "other").alias("i"),
+        F.greatest("part", "other").alias("j"),
+        "place",
+        F.col("part").alias("tile"),
+        "keys",
+        "normalized_value",
+        "original_value",
+        "frequency",
+    )
+    return strongest_in_tiles(tiles, min_similarity)
+
+
 def candidate_pairs(members: DataFrame) -> DataFrame:
     """Distinct unordered pairs of normalised names that share a block."""
     return _paired(members).select(
@@ -230,7 +233,8 @@ def directed_matches(scored: DataFrame, bands: ScoreBands = ScoreBands()) -> Dat
         winner, loser = F.col(f"left_{name}"), F.col(f"right_{name}")
         return F.when(left > right, winner if canonical else loser).otherwise(loser if canonical else winner)
 
-    return scored.select(
+    # One spelling with two ready-made forms is no variant of itself.
+    return scored.filter(F.col("left_original_value") != F.col("right_original_value")).select(
         pick("original_value", False).alias("variant_value"),
         pick("original_value", True).alias("canonical_value"),
         pick("normalized_value", False).alias("normalized_variant"),
@@ -245,17 +249,21 @@ def directed_matches(scored: DataFrame, bands: ScoreBands = ScoreBands()) -> Dat
 
 
 def fuzzy_matches(
-    counts: DataFrame,
-    bands: ScoreBands = ScoreBands(),
-    *,
-    min_similarity: float | None = None,
-    max_block_size: int = MAX_BLOCK_SIZE,
-    metric: str = "weighted",
+    counts: DataFrame, bands: ScoreBands = ScoreBands(), *, min_similarity: float | None = None, metric: str = "weighted"
+) -> DataFrame:
+    """Close spellings found within blocks: all of them, as pairs from variant to preferred name."""
+    floor = bands.review if min_similarity is None else min_similarity
+    return directed_matches(scored_pairs(block_members(representatives(counts)), floor, metric), bands)
+
+
+def strongest_fuzzy_matches(
+    counts: DataFrame, bands: ScoreBands = ScoreBands(), *, min_similarity: float | None = None, metric: str = "weighted"
 ) -> DataFrame:
-    """Close spellings found within blocks."""
+    """The best close spelling of each variant, without listing the others."""
     floor = bands.review if min_similarity is None else min_similarity
-    members = capped_blocks(block_members(representatives(counts)), max_block_size)
-    return directed_matches(scored_pairs(members, floor, metric), bands)
+    if metric != "weighted":
+        return strongest_matches(fuzzy_matches(counts, bands, min_similarity=floor, metric=metric))
+    return strongest_matches(directed_matches(strongest_pairs(block_members(representatives(counts)), floor), bands))
 
 
 def strongest_matches(matches: DataFrame) -> DataFrame:
@@ -266,13 +274,15 @@ def strongest_matches(matches: DataFrame) -> DataFrame:
     return matches.withColumn("place", F.row_number().over(best_first)).filter("place = 1").drop("place")
 
 
-def matched_variants(counts: DataFrame, bands: ScoreBands = ScoreBands(), **options) -> DataFrame:
+def matched_variants(counts: DataFrame, bands: ScoreBands = ScoreBands(), *, one_form: bool = True, **options) -> DataFrame:
     """All variants of counted values, each mapped once.
 
-    An exact variant is never its value's representative and only representatives are matched
-    fuzzily, so just the fuzzy matches can compete for a variant.
+    Where a value has one normalised form, an exact variant is never its value's representative and
+    only representatives are matched fuzzily, so just the fuzzy matches can compete for a variant.
+    With ready-made forms (``one_form=False``) one value can have several, and all its matches compete.
     """
-    return exact_matches(counts).unionByName(strongest_matches(fuzzy_matches(counts, bands, **options)))
+    found = exact_matches(counts).unionByName(strongest_fuzzy_matches(counts, bands, **options))
+    return found if one_form else strongest_matches(found)
 
 
 def report_order() -> list[Column]:
@@ -297,5 +307,5 @@ def variant_report(
     """Review-ready list of variants of one organization column, by default the primary one."""
     column = column or require_primary_organization(table.columns, roles)
     counts = value_counts(table, column, normalized)
-    found = matched_variants(counts, bands, **options).withColumn("source_column", F.lit(column))
+    found = matched_variants(counts, bands, one_form=normalized is None, **options).withColumn("source_column", F.lit(column))
     return found.select(*VARIANT_SCHEMA.names).orderBy(*report_order())

@@ -148,7 +148,11 @@ def exact_groups(source: str) -> str:
       FROM (SELECT {parts} FROM {source}) GROUP BY {names} HAVING count(*) > 1)"""
 
 
-def value_counts(column: str) -> str:
+def value_counts(column: str, form: str | None = None) -> str:
+    if form:
+        return f"""SELECT original_value, normalized_value, count(*) AS frequency FROM (
+          SELECT {trim(column)} AS original_value, {form} AS normalized_value FROM agreements)
+          WHERE original_value <> '' AND normalized_value <> '' GROUP BY 1, 2"""
     return f"""SELECT original_value, {norm("original_value")} AS normalized_value, frequency FROM (
       SELECT {trim(column)} AS original_value, count(*) AS frequency FROM agreements
       WHERE {trim(column)} <> '' GROUP BY 1) WHERE {norm("original_value")} IS NOT NULL"""
@@ -170,12 +174,12 @@ def best_of(rows: str, by: str, order: str) -> str:
     return f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS rn FROM {rows}) WHERE rn = 1"
 
 
-def fuzzy_chain(prefix: str, column: str) -> dict[str, str]:
+def fuzzy_chain(prefix: str, column: str, form: str | None = None) -> dict[str, str]:
     """Counting, blocking, scoring and choosing for one organization column."""
     p = prefix
     bucket = "CAST(length(replace(normalized_value, ' ', '')) // 5 AS VARCHAR)"
     return {
-        f"{p}counts": value_counts(column),
+        f"{p}counts": value_counts(column, form),
         f"{p}canon": f"""SELECT normalized_value, original_value AS canonical_value, frequency AS canonical_count, spellings FROM (
           SELECT *, count(*) OVER (PARTITION BY normalized_value) AS spellings, row_number() OVER (
             PARTITION BY normalized_value ORDER BY frequency DESC, length(original_value) DESC, original_value DESC) AS rn
@@ -191,10 +195,8 @@ def fuzzy_chain(prefix: str, column: str) -> dict[str, str]:
           'token:' || left(split_part(normalized_value, ' ', 1), 8) || ':' || {bucket},
           'initials:' || array_to_string(list_transform(string_split(normalized_value, ' ')[1:4], lambda w: left(w, 1)), '') || ':' || {bucket}
           ]) AS block FROM {p}reps""",
-        f"{p}capped": f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY block
-          ORDER BY frequency DESC, length(original_value) DESC, normalized_value) AS rn FROM {p}members) WHERE rn <= 750""",
         f"{p}pairs": f"""SELECT DISTINCT l.normalized_value AS left_value, r.normalized_value AS right_value
-          FROM {p}capped l JOIN {p}capped r ON l.block = r.block AND l.normalized_value < r.normalized_value""",
+          FROM {p}members l JOIN {p}members r ON l.block = r.block AND l.normalized_value < r.normalized_value""",
         f"{p}words": f"""SELECT *, list_sort(string_split(left_value, ' ')) AS lw, list_sort(string_split(right_value, ' ')) AS rw,
           list_intersect(list_distinct(string_split(left_value, ' ')), list_distinct(string_split(right_value, ' '))) AS both_w
           FROM {p}pairs""",
@@ -221,7 +223,8 @@ def fuzzy_chain(prefix: str, column: str) -> dict[str, str]:
           'RapidFuzz WRatio on normalized organization names within the same block.' AS justification
           FROM (SELECT s.*, l.original_value AS lo, r.original_value AS ro, l.frequency AS lf, r.frequency AS rf,
             (l.frequency, length(l.original_value), l.original_value) > (r.frequency, length(r.original_value), r.original_value) AS w
-            FROM {p}scored s JOIN {p}reps l ON l.normalized_value = left_value JOIN {p}reps r ON r.normalized_value = right_value)""",
+            FROM {p}scored s JOIN {p}reps l ON l.normalized_value = left_value JOIN {p}reps r ON r.normalized_value = right_value
+            WHERE l.original_value <> r.original_value)""",
         f"{p}best": best_of(f"{p}fuzzy", "variant_value", "similarity_score DESC, canonical_count DESC, canonical_value"),
         f"{p}variants": f"""SELECT '{column}' AS source_column, * FROM
           (SELECT * FROM {p}exact UNION ALL BY NAME SELECT * FROM {p}best)""",
@@ -267,6 +270,9 @@ CTES: dict[str, str] = {
     },
     **fuzzy_chain("", "recipient_legal_name"),
     **fuzzy_chain("trade_", "recipient_operating_name"),
+    **fuzzy_chain(
+        "form_", "recipient_legal_name", f"{norm('recipient_legal_name')} || CASE WHEN _row_id % 5 = 0 THEN ' CO' ELSE '' END"
+    ),
     "mapping": """SELECT variant_value AS original_value, canonical_value AS cleaned_value, status,
       match_basis || ' with similarity score ' || CAST(similarity_score AS VARCHAR) || '. ' ||
       CASE WHEN status = 'accepted' THEN 'Automatic correction permitted.' ELSE 'Manual review required before correction.' END AS justification,
@@ -521,9 +527,7 @@ FINALS: dict[str, str] = {
     "v3_exact_matches": "SELECT * FROM exact",
     "v4_representatives": "SELECT * FROM reps",
     "v5_block_keys": "SELECT * FROM members",
-    "v6_block_cap": "SELECT * FROM trade_capped",
     "v7_candidate_pairs": "SELECT * FROM pairs",
-    "v7_candidate_pairs_capped": "SELECT * FROM trade_pairs",
     "v8_scored_pairs": """SELECT left_value AS left_normalized_value, right_value AS right_normalized_value,
       round_even(score, 2) AS score FROM scored""",
     "v8_scored_pairs_edit": """SELECT * FROM (SELECT left_value AS left_normalized_value, right_value AS right_normalized_value,
@@ -531,8 +535,10 @@ FINALS: dict[str, str] = {
       FROM pairs) WHERE score >= 80""",
     "v9_directed_matches": "SELECT * FROM fuzzy",
     "v10_strongest_matches": "SELECT * FROM best",
+    "v10_strongest_of_all": "SELECT * FROM best",
+    "v10_two_forms": "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY variant_value ORDER BY similarity_score DESC, canonical_count DESC, canonical_value) AS rn FROM form_variants) WHERE rn = 1",
     "v11_variant_report": "SELECT * FROM variants",
-    "v11_variant_report_capped": "SELECT * FROM trade_variants",
+    "v11_variant_report_trade": "SELECT * FROM trade_variants",
     "c1_cleaning_mapping": "SELECT * FROM mapping",
     "c2_accepted_mapping": "SELECT * FROM accepted",
     "c3_normalized_organizations": """SELECT _row_id, recipient_legal_name_normalized_codex,

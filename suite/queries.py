@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleargrain.functions import scoring, text, values
-from cleargrain.functions.text import quoted
+from cleargrain.functions.text import normalize, quoted
 from cleargrain.operators import cleaning, duplicates, lens, profile, roles, summary, variants
 from cleargrain.plans import steps
 from cleargrain.session import scratch_path
@@ -73,10 +73,6 @@ def _members(df: DataFrame, column: str = ORG) -> DataFrame:
     return variants.block_members(variants.representatives(_counts(df, column)))
 
 
-def _capped(df: DataFrame, column: str = ORG) -> DataFrame:
-    return variants.capped_blocks(_members(df, column))
-
-
 def _mapping(df: DataFrame) -> DataFrame:
     return cleaning.cleaning_mapping(variants.variant_report(df))
 
@@ -410,29 +406,19 @@ def _(df):
     return _members(df)
 
 
-@on_agreements("v6_block_cap")
-def _(df):
-    return _capped(df, TRADE)
-
-
 @on_agreements("v7_candidate_pairs")
 def _(df):
-    return variants.candidate_pairs(_capped(df))
-
-
-@on_agreements("v7_candidate_pairs_capped")
-def _(df):
-    return variants.candidate_pairs(_capped(df, TRADE))
+    return variants.candidate_pairs(_members(df))
 
 
 @on_agreements("v8_scored_pairs")
 def _(df):
-    return variants.scored_pairs(_capped(df)).select("left_normalized_value", "right_normalized_value", F.bround("score", 2).alias("score"))
+    return variants.scored_pairs(_members(df)).select("left_normalized_value", "right_normalized_value", F.bround("score", 2).alias("score"))
 
 
 @on_agreements("v8_scored_pairs_edit")
 def _(df):
-    return variants.scored_pairs(_capped(df), metric="edit").select("left_normalized_value", "right_normalized_value", F.bround("score", 2).alias("score"))
+    return variants.scored_pairs(_members(df), metric="edit").select("left_normalized_value", "right_normalized_value", F.bround("score", 2).alias("score"))
 
 
 @on_agreements("v9_directed_matches")
@@ -441,16 +427,28 @@ def _(df):
 
 
 @on_agreements("v10_strongest_matches")
+def _(df):
+    return variants.strongest_fuzzy_matches(_counts(df))
+
+
+@on_agreements("v10_strongest_of_all")
 def _(df):
     return variants.strongest_matches(variants.fuzzy_matches(_counts(df)))
 
 
+@on_agreements("v10_two_forms")
+def _(df):
+    """A ready-made form that is not the same for all rows of a spelling."""
+    forms = F.when(F.col("_row_id") % 5 == 0, F.concat(normalize(F.col(ORG)), F.lit(" CO"))).otherwise(normalize(F.col(ORG)))
+    return variants.variant_report(df.withColumn("form", forms), ORG, normalized="form")
+
+
 @on_agreements("v11_variant_report")
 def _(df):
     return variants.variant_report(df)
 
 
-@on_agreements("v11_variant_report_capped")
+@on_agreements("v11_variant_report_trade")
 def _(df):
     return variants.variant_report(df, TRADE)
 

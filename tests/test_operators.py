@@ -5,6 +5,8 @@ import random
 from collections import Counter
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cleargrain.functions import scoring, values
@@ -85,7 +87,7 @@ def test_block_keys(spark):
     assert keys[1] == ["prefix:ABCDE:1", "token:A:1", "initials:ABCD:1"]
 
 
-def brute_variants(names, cap):
+def brute_variants(names):
     """Matches of normalised, counted names by plain loops."""
     blocks = {}
     for name in sorted(names):
@@ -96,25 +98,51 @@ def brute_variants(names, cap):
             blocks.setdefault(key, []).append(name)
     pairs = set()
     for members in blocks.values():
-        members = sorted(members, key=lambda n: (-names[n], -len(n), n))[:cap]
+        members = sorted(members)
         pairs |= {tuple(sorted(p)) for p in itertools.combinations(members, 2)}
     return pairs
 
 
-@pytest.mark.parametrize("cap", [3, 750])
-def test_pairs_match_brute_force(spark, monkeypatch, cap):
-    monkeypatch.setattr(variants, "PAIRS_PER_TASK", 4)
-    draw = random.Random(cap)
+@pytest.mark.parametrize("part", [7, 512])
+def test_pairs_match_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(variants, "PART_NAMES", part)
+    draw = random.Random(part)
     names = {f"{draw.choice(['NORTH', 'NORTHERN', 'SOUTH'])} {draw.choice('ABC')}{draw.randint(0, 9)} INC": draw.randint(1, 5) for _ in range(60)}
     counts = spark.createDataFrame([(n, n, f) for n, f in names.items()], "original_value string, normalized_value string, frequency long")
-    members = variants.capped_blocks(variants.block_members(variants.representatives(counts)), cap)
+    members = variants.block_members(variants.representatives(counts))
     got = [tuple(r) for r in variants.candidate_pairs(members).collect()]
-    want = brute_variants(names, cap)
+    want = brute_variants(names)
     assert len(got) == len(set(got)) and set(got) == want
 
     scored = {(r[0], r[3]): r.score for r in variants.scored_pairs(members).collect()}
     by_hand = {p: scoring.weighted_ratio(*p) for p in want}
     assert scored == pytest.approx({p: s for p, s in by_hand.items() if s >= 80})
+    every = variants.strongest_matches(variants.directed_matches(variants.scored_pairs(members)))
+    best = variants.strongest_matches(variants.directed_matches(variants.strongest_pairs(members)))
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_a_block_of_thousands_loses_no_name(spark):
+    """2,500 names in one block: each is compared with all, though only one match each is kept."""
+    names = [f"CUSTOMER {i * 7 % 2500:09d}" for i in range(2500)]
+    counts = spark.createDataFrame([(n, n, 1 + (i % 3 == 0)) for i, n in enumerate(names)], "original_value string, normalized_value string, frequency long")
+    got = {r.variant_value: (r.similarity_score, r.canonical_value) for r in variants.strongest_fuzzy_matches(counts).collect()}
+    assert len(got) == 2499
+    weights = {n: (1 + (i % 3 == 0), len(n), n) for i, n in enumerate(names)}
+    for name in names[::250]:
+        ranked = sorted(
+            (-round(scoring.weighted_ratio(name, other), 2), -weights[other][0], other) for other in names if weights[other] > weights[name]
+        )
+        assert not ranked or got[name] == (-ranked[0][0], ranked[0][2])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="AB1 ", min_size=1, max_size=14).map(lambda t: " ".join(t.split())).filter(bool), min_size=1, max_size=8))
+def test_bounds_hold(names):
+    bounds = scoring.score_bounds(names, names)
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            assert scoring.weighted_ratio(*sorted((a, b))) <= bounds[i, j]
 
 
 def test_variants_do_not_depend_on_layout(spark):
