@@ -152,8 +152,9 @@ def may_reach(left: Column, right: Column, left_key: Column, right_key: Column,
     """False only for pairs whose weighted ratio is certainly below ``floor``.
 
     Edit distance never exceeds indel distance, so an edit distance above the indel budget of
-    ``floor`` rules a ratio out. Pairs that share a word, differ much in length or repeat words have
-    other ways to score and always pass. This keeps the bulk of a block away from Python.
+    ``floor`` rules a ratio out: of the names, of their sorted words, and of the words they do not
+    share, which together with the lengths of the shared ones bound the ratio of word sets. Pairs
+    that differ much in length or repeat words have other ways to score and always pass.
     """
     long = F.greatest(F.char_length(left), F.char_length(right))
     short = F.least(F.char_length(left), F.char_length(right))
@@ -162,8 +163,19 @@ def may_reach(left: Column, right: Column, left_key: Column, right_key: Column,
         budget = (1 - wanted / 100) * (F.char_length(a) + F.char_length(b)) + 1e-6
         return F.levenshtein(a, b) <= budget
 
+    words_a, words_b = F.split(left, " "), F.split(right, " ")
+    rest_a, rest_b = (F.array_join(F.array_sort(F.array_except(x, y)), " ") for x, y in ((words_a, words_b), (words_b, words_a)))
+    common = F.char_length(F.array_join(F.array_intersect(words_a, words_b), " "))
+    whole_a, whole_b = (common + F.least(F.char_length(rest), F.lit(1)) + F.char_length(rest) for rest in (rest_a, rest_b))
+    wanted = floor / WORD_WEIGHT
+    sets = (common > 0) & (
+        (rest_a == "")
+        | (rest_b == "")
+        | (F.levenshtein(rest_a, rest_b) <= (1 - wanted / 100) * (whole_a + whole_b) + 1e-6)
+        | (200 * common >= (wanted - 1e-6) * (common + F.least(whole_a, whole_b)))
+    )
     return (
-        F.arrays_overlap(F.split(left, " "), F.split(right, " "))
+        sets
         | (long >= short * PART_FROM)
         | within(left, right, floor)
         | F.coalesce(within(left_key, right_key, floor / WORD_WEIGHT), F.lit(True))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import CLEANED_SUFFIX, companion_name, quoted, strip, with_normalized
-from ..session import BROADCAST_ROWS, broadcast_if_small
+from ..session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small
 from .roles import DEFAULT_ROLES, Roles, organization_columns, require_primary_organization
 
 # The two verdicts appended to a mapping's justification.
@@ -65,17 +65,21 @@ def apply_mapping(
     column: str,
     *,
     broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     spread: int = 1024,
+    salts: int = 8,
 ) -> DataFrame:
     """Add the cleaned companion of a column: its accepted correction, else the value as it was.
 
-    One hop only, no row added or lost. The mapping is broadcast when its counted size allows.
-    Beyond that both sides are exchanged; rows without a name, which match nothing, are then spread
-    over tasks by a key of their own, and hot names are split by the adaptive skew join.
+    One hop only, no row added or lost. The mapping is broadcast when its counted rows and bytes
+    allow. Beyond that both sides are exchanged: the rows of a name are dealt into ``salts`` parts,
+    each of which meets a copy of the mapping's row, and rows without a name, which match nothing,
+    are spread over ``spread`` parts.
     """
     lookup, small = broadcast_if_small(
         accepted_mapping(mapping).select(F.col("original_value").alias("_original"), F.col("cleaned_value").alias("_cleaned")),
         broadcast_rows,
+        broadcast_bytes,
     )
     value = quoted(column)
     name = strip(value.cast("string"))
@@ -83,9 +87,9 @@ def apply_mapping(
     match = F.col("_name") == F.col("_original")
     if not small:
         others = [quoted(c) for c in table.columns if c != column] or [F.rand(seed=0)]
-        nameless = F.pmod(F.xxhash64(*others), F.lit(spread))
-        keyed = keyed.withColumn("_part", F.when(value.isNull(), nameless).otherwise(F.lit(-1)))
-        lookup = lookup.withColumn("_lookup_part", F.lit(-1).cast("bigint"))
+        parts = F.when(value.isNull(), F.lit(spread)).otherwise(F.lit(salts))
+        keyed = keyed.withColumn("_part", F.pmod(F.xxhash64(*others), parts))
+        lookup = lookup.withColumn("_lookup_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
         match &= F.col("_part") == F.col("_lookup_part")
     cleaned = companion_name(column, CLEANED_SUFFIX)
     return keyed.join(lookup, match, "left").select(

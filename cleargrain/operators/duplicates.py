@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import MISSING_KEY, is_missing, normalize, quoted, serialize, strip
-from ..session import BROADCAST_KEYS, broadcast_if_small
 from .profile import ROW_ID
 from .roles import DEFAULT_ROLES, Roles, primary_organization
 
@@ -25,6 +24,7 @@ RECOMMENDATIONS = {
 EXACT_KEY_PARTS_SHOWN = 8
 PROBABLE_PARTS_NEEDED = 4
 PROBABLE_KEY = "_probable_key"
+FULL_KEY = "full_key"
 
 REPORT_COLUMNS = (
     "duplicate_type",
@@ -43,13 +43,13 @@ def _serialized(table: DataFrame, column: str | None) -> Column:
     return serialize(quoted(column), table.schema[column].dataType)
 
 
-def _report(groups: DataFrame) -> DataFrame:
+def _report(groups: DataFrame, *extra: str) -> DataFrame:
     recommendation = reduce(
         lambda chain, kind: chain.when(F.col("duplicate_type") == kind, RECOMMENDATIONS[kind]),
         RECOMMENDATIONS,
         F,
     )
-    return groups.withColumn("review_recommendation", recommendation).select(*REPORT_COLUMNS)
+    return groups.withColumn("review_recommendation", recommendation).select(*REPORT_COLUMNS, *extra)
 
 
 def _comparable(table: DataFrame, column: str) -> Column:
@@ -67,15 +67,15 @@ def exact_duplicates(
     *,
     row_id: str = ROW_ID,
     roles: Roles = DEFAULT_ROLES,
-    broadcast_keys: int = BROADCAST_KEYS,
+    full_key: bool = False,
 ) -> DataFrame:
     """Rows equal in every column but the row number.
 
-    The wide rows should not all cross the network to find the few that repeat. A first pass counts
-    8-byte hashes; when the repeated hashes fit a checked broadcast, only rows carrying one go on to
-    be grouped by their full values, which also tells colliding rows apart. With more repeats than
-    that, rows are grouped directly: copies then collapse before the exchange. Values are rendered
-    as text only for the groups found.
+    A first pass counts 8-byte hashes. Only rows whose hash repeats go on to be grouped by their full
+    values, which also tells colliding rows apart; Spark broadcasts the repeated hashes where their
+    bytes are few and joins them by exchange otherwise. Values are rendered as text only for the
+    groups found. The shown key has the first eight columns; ``full_key`` adds a hash of all of
+    them, by which groups can be told apart and rows joined back.
     """
     columns = [c for c in table.columns if c not in (row_id, roles.row_number)]
     names = {column: f"k{i}" for i, column in enumerate(columns)}
@@ -84,9 +84,7 @@ def exact_duplicates(
     rows = rows.withColumn("h", F.xxhash64(*names.values()))
 
     repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    repeated, small = broadcast_if_small(repeated, broadcast_keys)
-    if small:
-        rows = rows.join(repeated, "h", "left_semi")
+    rows = rows.join(repeated, "h", "left_semi")
     groups = rows.groupBy(*names.values()).agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
 
     def shown(column: str | None) -> Column:
@@ -98,16 +96,19 @@ def exact_duplicates(
             return serialize(F.col(names[column]).cast(dtype), dtype)
         return serialize(F.col(names[column]), dtype)
 
-    return _report(
+    report = _report(
         groups.select(
+            F.md5(F.concat_ws(" || ", *[shown(c) for c in columns])).alias(FULL_KEY),
             F.lit(EXACT).alias("duplicate_type"),
             F.lit(EXACT_RULE).alias("rule_name"),
             F.concat_ws(" || ", *[shown(c) for c in columns[:EXACT_KEY_PARTS_SHOWN]]).alias("duplicate_key"),
             "occurrences",
             shown(roles.reference).alias("example_ref_number"),
             shown(organization).alias("example_organization"),
-        )
+        ),
+        FULL_KEY,
     )
+    return report if full_key else report.drop(FULL_KEY)
 
 
 def with_probable_key(table: DataFrame, name: str = "probable_key", roles: Roles = DEFAULT_ROLES) -> DataFrame:
@@ -145,34 +146,37 @@ def _identifier_keys(table: DataFrame, roles: Roles) -> dict[str, Column]:
 
 
 def _keyed_groups(table: DataFrame, rules: dict[str, Column], row_id: str, roles: Roles) -> DataFrame:
-    """Groups under several keys at once: one scan and one exchange for all the rules."""
+    """Groups under several keys at once: one scan and one exchange for all the rules.
+
+    The first row of a group is found by its number alone, so groups combine in hash maps before the
+    exchange; its reference and organization are then joined back. Row numbers must be unique.
+    """
     organization = primary_organization(table.columns, roles)
-    keyed = table.select(
-        F.col(row_id).alias("at"),
-        _serialized(table, roles.reference).alias("reference"),
-        _serialized(table, organization).alias("organization"),
-        *[key.alias(f"rule_{i}") for i, key in enumerate(rules.values())],
+    keyed = table.select(F.col(row_id).alias("at"), *[key.alias(f"rule_{i}") for i, key in enumerate(rules.values())])
+    shown = table.select(
+        F.col(row_id).alias("first"),
+        _serialized(table, roles.reference).alias("example_ref_number"),
+        _serialized(table, organization).alias("example_organization"),
     )
     names = F.array(*[F.lit(rule) for rule in rules])
     return (
-        keyed.unpivot(
-            ["at", "reference", "organization"], [f"rule_{i}" for i in range(len(rules))], "rule", "duplicate_key"
-        )
+        keyed.unpivot(["at"], [f"rule_{i}" for i in range(len(rules))], "rule", "duplicate_key")
         .filter(F.col("duplicate_key").isNotNull())
         .groupBy("rule", "duplicate_key")
         .agg(
             F.count(F.lit(1)).alias("occurrences"),
-            F.min(F.struct("at", "reference", "organization")).alias("first"),
+            F.min("at").alias("first"),
         )
         .filter("occurrences > 1")
+        .join(shown, "first")
         .withColumn("rule_name", F.get(names, F.substring_index("rule", "_", -1).cast("int")))
         .select(
             F.when(F.col("rule_name") == PROBABLE_RULE, PROBABLE).otherwise(IDENTIFIER).alias("duplicate_type"),
             "rule_name",
             "duplicate_key",
             "occurrences",
-            F.col("first.reference").alias("example_ref_number"),
-            F.col("first.organization").alias("example_organization"),
+            "example_ref_number",
+            "example_organization",
         )
         .transform(_report)
     )

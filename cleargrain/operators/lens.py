@@ -125,13 +125,17 @@ def _most_common() -> list[Column]:
     return [F.desc("records"), F.asc("first_row")]
 
 
-def filter_options(table: DataFrame, *, row_id: str = ROW_ID, roles: Roles = DEFAULT_ROLES) -> DataFrame:
+def filter_options(
+    table: DataFrame, *, owners_shown: int | None = OWNER_OPTIONS, row_id: str = ROW_ID, roles: Roles = DEFAULT_ROLES
+) -> DataFrame:
     """Labels offered as filters: known regions by name, the top owners, years from the latest."""
     counted = facets(table, row_id=row_id, strip_dates=False, roles=roles)
-    owners = counted.filter(F.col("facet") == OWNER).orderBy(*_most_common()).limit(OWNER_OPTIONS)
+    owners = counted.filter(F.col("facet") == OWNER)
+    if owners_shown is not None:
+        owners = owners.orderBy(*_most_common()).limit(owners_shown)
     regions = counted.filter((F.col("facet") == REGION) & is_known_region(F.col("label")))
     years = counted.filter(F.col("facet") == YEAR)
-    # What is numbered here is at most 30 owners, 14 regions and the four-digit years.
+    # What is numbered here is at most the owners shown, 14 regions and the four-digit years.
     numbered = [
         part.withColumn("position", F.row_number().over(Window.partitionBy("facet").orderBy(*order)))
         for part, order in (
@@ -257,13 +261,14 @@ def search(
     scope: str = "all",
     *,
     limit: int = SEARCH_ROWS,
+    blank_limit: int = BLANK_SEARCH_ROWS,
     row_id: str = ROW_ID,
     roles: Roles = DEFAULT_ROLES,
 ) -> DataFrame:
     """First matching rows in scan order; a blank query shows the first rows of the table."""
     needle = query.strip()
     if not needle:
-        return display_columns(table.orderBy(row_id).limit(BLANK_SEARCH_ROWS), roles)
+        return display_columns(table.orderBy(row_id).limit(blank_limit), roles)
     scopes = search_scopes(table.columns, roles)
     hits = table.filter(_any_contains(scopes.get(scope, scopes["all"]), needle))
     return display_columns(hits.orderBy(row_id).limit(limit), roles)

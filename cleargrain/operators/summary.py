@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import percent
+from .profile import top_missing
 
 
 def _counted(report: DataFrame, label: str, count: str) -> DataFrame:
@@ -49,10 +50,6 @@ def accepted_ratio(variants: DataFrame) -> DataFrame:
     )
 
 
-def top_missing_columns(missing: DataFrame, n: int = 10) -> DataFrame:
-    return missing.orderBy(F.desc("missing_percentage"), "column_name").limit(n)
-
-
 def top_duplicate_groups(duplicates: DataFrame, n: int = 10) -> DataFrame:
     """First groups in report order."""
     return duplicates.orderBy("duplicate_type", F.desc("occurrences"), "rule_name", "duplicate_key").limit(n)
@@ -95,7 +92,7 @@ def largest_duplicate_groups(duplicates: DataFrame, n: int = 12) -> DataFrame:
 
 
 def first_missing_columns(missing: DataFrame, n: int = 12) -> DataFrame:
-    return top_missing_columns(missing, n)
+    return top_missing(missing, n)
 
 
 def top_variants(variants: DataFrame, status: str, n: int = 10) -> DataFrame:
@@ -125,7 +122,7 @@ def final_facts(
         facts("duplicate_summary", duplicate_summary(duplicates), "duplicate_type", "group_count"),
         facts("variant_summary", variant_summary(variants), "status", "pair_count"),
         facts("cleaning_summary", cleaning_summary(mapping), "status", "mapping_count"),
-        facts("top_missing", top_missing_columns(missing), "column_name", "missing_percentage"),
+        facts("top_missing", top_missing(missing), "column_name", "missing_percentage"),
         facts("top_duplicates", top_duplicate_groups(duplicates), "duplicate_key", "occurrences"),
         facts("top_variants", top_variant_pairs(variants), "variant_value", "similarity_score"),
         facts("corrections", statuses, None, "accepted_count"),

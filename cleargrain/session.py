@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 # Rows of at most a few hundred bytes each: a broadcast of this many stays near 100 MB.
 BROADCAST_ROWS = 400_000
-# Eight-byte keys only: about the same memory.
-BROADCAST_KEYS = 4_000_000
+# Rows may be few and still hold very long texts.
+BROADCAST_BYTES = 64 << 20
 
 
 def configure(builder: SparkSession.Builder, *, shuffle_partitions: int | None = None) -> SparkSession.Builder:
@@ -59,7 +59,12 @@ def settle(table: DataFrame) -> tuple[DataFrame, int]:
     return stored, stored.count()
 
 
-def broadcast_if_small(table: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Settle a table and mark it for broadcast only when its counted size allows."""
-    stored, rows = settle(table)
-    return (F.broadcast(stored), True) if rows <= limit else (stored, False)
+def broadcast_if_small(
+    table: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES
+) -> tuple[DataFrame, bool]:
+    """Settle a table and mark it for broadcast only when its counted rows and bytes allow."""
+    shared_dir(table.sparkSession)
+    stored = table.checkpoint(eager=True)
+    sizes = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in stored.columns]
+    rows, total = stored.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(sizes[1:], sizes[0])), F.lit(0))).first()
+    return (F.broadcast(stored), True) if rows <= limit and total <= limit_bytes else (stored, False)

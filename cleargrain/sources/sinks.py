@@ -33,11 +33,16 @@ def check_output(path: str, protected: Iterable[str]) -> str:
     return str(path)
 
 
-def write_table(table: DataFrame, path: str, *, fmt: str = "csv", protected: Iterable[str] = (), mode: str = "overwrite") -> str:
-    """Write in parallel, replacing what the path held before."""
+def write_table(table: DataFrame, path: str, *, protected: Iterable[str], fmt: str = "parquet", mode: str = "overwrite") -> str:
+    """Write in parallel, replacing what the path held before; never over a protected input.
+
+    Parquet keeps types and values as they are. CSV keeps every character of a cell, white space at
+    its ends and line breaks too.
+    """
     target = check_output(path, protected)
     writer = table.write.mode(mode)
     if fmt == "csv":
         writer = writer.option("header", True).option("encoding", "UTF-8").option("escape", '"')
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.format(fmt).save(target)
     return target

@@ -34,7 +34,8 @@ def read_csv(spark: SparkSession, path: str, *, key: str | None = None) -> DataF
     stays distinct from a missing value.
     """
     # Only an unquoted empty cell turns into this marker, so a quoted empty string is kept.
-    options = {"header": False, "nullValue": "\x00missing\x00", "emptyValue": "", "escape": '"'}
+    # Cells may hold line breaks, so a file is one split; many part files keep the reading parallel.
+    options = {"header": False, "nullValue": "\x00missing\x00", "emptyValue": "", "escape": '"', "multiLine": True}
     header = spark.read.options(**options).csv(path).first()
     if header is None:
         raise ValueError(f"no header line in {path}")
@@ -62,7 +63,7 @@ def read_report(
     """A stored report under a declared schema; when absent, an error or an empty table."""
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True).option("escape", '"').option("enforceSchema", False)
+        reader = reader.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
     try:
         return reader.format(fmt).load(path)
     except AnalysisException as problem:

@@ -14,15 +14,9 @@ COPY_OFFSET = 1_000_000_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
-    """A given table. With a key, a table of one file is spread over the cores.
-
-    A small file is one row group, which one task reads. Large tables come in many files and are
-    used as they lie.
-    """
+    """A given table. With a key, its rows are spread over the tasks, however the files lie."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if key and len(rows.inputFiles()) == 1:
-        rows = rows.repartition(spark.sparkContext.defaultParallelism, key)
-    return rows
+    return rows.repartition(key) if key else rows
 
 
 def agreements(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -448,6 +448,10 @@ FINALS: dict[str, str] = {
         if c not in ("#", "foreign_currency_value")
     )
     + " FROM agreements",
+    "s5_csv_odd_cells": """SELECT c_custkey AS _row_id, CAST(c_custkey AS VARCHAR) AS id, ' ' || c_name || '  ' AS padded,
+      c_name || chr(10) || 'second line' || chr(10) AS lines, 'say "' || c_name || '", twice' AS quoted,
+      chr(9) || c_name || chr(92) AS tabbed,
+      CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'x' END AS sparse FROM customer""",
     "s6_cleaned_round_trip": "SELECT * FROM cleaned",
     "p1_value_type": "SELECT _row_id, " + ", ".join(f"{tag(c)} AS type_{i}" for i, c in enumerate(COLUMNS)) + " FROM agreements",
     "p1b_single_type": f"""SELECT _row_id, ({tag("agreement_value")}) = 'text' AS text_like,
@@ -470,10 +474,9 @@ FINALS: dict[str, str] = {
       {norm("recipient_legal_name")} AS recipient_legal_name_normalized_codex,
       {norm("agreement_title_fr")} AS agreement_title_fr_normalized_codex FROM agreements""",
     "p7_serialize": "SELECT _row_id, " + ", ".join(f"{key(c)} AS key_{i}" for i, c in enumerate(COLUMNS)) + " FROM agreements",
-    "p8_missing_recommendation": f"""SELECT _row_id, {MISSING_BAND.format("p")} AS recommendation
-      FROM (SELECT _row_id, CAST(_row_id % 10001 AS DOUBLE) / 100 AS p FROM agreements)""",
-    "p9_score_status": f"""SELECT _row_id, {STATUS.format("s")} AS status
-      FROM (SELECT _row_id, CAST(_row_id % 100001 AS DOUBLE) / 1000 AS s FROM agreements)""",
+    "p8_missing_recommendation": "SELECT column_name, recommendation FROM missing",
+    "p9_score_status": f"""SELECT left_value AS left_normalized_value, right_value AS right_normalized_value,
+      {STATUS.format("score")} AS status FROM scored""",
     "p10_duplicate_columns": """SELECT _row_id, ref_number, agreement_number, recipient_business_number, recipient_legal_name,
       recipient_operating_name, agreement_title_en, agreement_title_fr, agreement_value, agreement_start_date,
       agreement_end_date, owner_org FROM agreements""",
@@ -513,6 +516,9 @@ FINALS: dict[str, str] = {
     "a9_removal_candidates": "SELECT * FROM missing WHERE recommendation = 'Possible Removal'",
     "d1_exact_duplicates": "SELECT * FROM copy_exacts",
     "d1_exact_duplicates_direct": "SELECT * FROM copy_exacts",
+    "d1_exact_full_keys": f"""SELECT md5({" || ' || ' || ".join(f"k{i}" for i in range(len(KEYS)))}) AS full_key, count(*) AS occurrences
+      FROM (SELECT {", ".join(f"{key(c)} AS k{i}" for i, c in enumerate(KEYS))} FROM copies) GROUP BY ALL
+      HAVING count(*) > 1""",
     "d1_exact_duplicate_texts": f"""SELECT *, {RECOMMENDED} FROM (SELECT 'exact_duplicate' AS duplicate_type,
       'all_columns_except_row_number' AS rule_name, duplicate_key, count(*) AS occurrences,
       '<MISSING>' AS example_ref_number, '<MISSING>' AS example_organization

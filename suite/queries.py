@@ -113,17 +113,33 @@ def _(df):
 @query("s4_stored_report")
 def _(spark, sf_dir):
     report = variants.variant_report(agreements(spark, sf_dir))
-    path = sinks.write_table(report, scratch_path(spark, "variants"), protected=[sf_dir])
+    path = sinks.write_table(report, scratch_path(spark, "variants"), fmt="csv", protected=[sf_dir])
     return tables.read_report(spark, path, variants.VARIANT_SCHEMA)
 
 
 @query("s5_csv_round_trip")
 def _(spark, sf_dir):
     rows = agreements(spark, sf_dir).drop("_row_id", "foreign_currency_value")
-    path = sinks.write_table(rows, scratch_path(spark, "agreements"), protected=[sf_dir])
+    path = sinks.write_table(rows, scratch_path(spark, "agreements"), fmt="csv", protected=[sf_dir])
     return tables.read_csv(spark, path, key="#")
 
 
+@query("s5_csv_odd_cells")
+def _(spark, sf_dir):
+    """Cells that a delimited file must quote or must not trim."""
+    name, key = F.col("c_name"), F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        key.alias("id"),
+        F.concat(F.lit(" "), name, F.lit("  ")).alias("padded"),
+        F.concat(name, F.lit("\nsecond line\n")).alias("lines"),
+        F.concat(F.lit('say "'), name, F.lit('", twice')).alias("quoted"),
+        F.concat(F.lit("\t"), name, F.lit("\\")).alias("tabbed"),
+        F.when(key % 3 == 0, "").when(key % 3 == 1, "x").alias("sparse"),
+    )
+    path = sinks.write_table(rows, scratch_path(spark, "cells"), fmt="csv", protected=[sf_dir])
+    return tables.read_csv(spark, path, key="id")
+
+
 @query("s6_cleaned_round_trip")
 def _(spark, sf_dir):
     cleaned = _cleaned(agreements(spark, sf_dir))
@@ -201,14 +217,16 @@ def _(df):
 
 @on_agreements("p8_missing_recommendation")
 def _(df):
-    pct = (F.col("_row_id") % 10001).cast("double") / 100
-    return df.select("_row_id", values.missing_recommendation(pct).alias("recommendation"))
+    """Bands of the percentage of gaps of every column."""
+    found = profile.column_counts(df, lexical=True)
+    share = values.percent(F.col("missing_count"), F.col("total_rows"))
+    return found.select("column_name", values.missing_recommendation(share).alias("recommendation"))
 
 
 @on_agreements("p9_score_status")
 def _(df):
-    score = (F.col("_row_id") % 100001).cast("double") / 1000
-    return df.select("_row_id", values.score_status(score).alias("status"))
+    """Bands of the score of every pair of names in a block that reaches the minimum."""
+    return variants.scored_pairs(_members(df)).select("left_normalized_value", "right_normalized_value", values.score_status(F.col("score")).alias("status"))
 
 
 @on_agreements("p10_duplicate_columns")
@@ -348,7 +366,12 @@ def _(spark, sf_dir):
 
 @query("d1_exact_duplicates_direct")
 def _(spark, sf_dir):
-    return duplicates.exact_duplicates(agreements_with_copies(spark, sf_dir), broadcast_keys=0)
+    return duplicates.exact_duplicates(agreements_with_copies(spark, sf_dir).repartition("ref_number"))
+
+
+@query("d1_exact_full_keys")
+def _(spark, sf_dir):
+    return duplicates.exact_duplicates(agreements_with_copies(spark, sf_dir), full_key=True).select("full_key", "occurrences")
 
 
 @on_agreements("d2_identifier_duplicates")
@@ -508,7 +531,7 @@ def _(df):
 
 @on_agreements("g5_top_missing")
 def _(df):
-    return summary.top_missing_columns(_missing(df))
+    return profile.top_missing(_missing(df))
 
 
 @on_agreements("g5_top_duplicate_groups")

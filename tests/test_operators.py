@@ -202,12 +202,11 @@ def test_probable_key_needs_four_parts(spark):
     ]
 
 
-@pytest.mark.parametrize("broadcast_keys", [100, 0])
-def test_exact_duplicates_match_brute_force(spark, broadcast_keys):
+def test_exact_duplicates_match_brute_force(spark):
     draw = random.Random(3)
     rows = [(i, i, draw.choice(["a", " a", None, "<MISSING>"]), draw.choice([1.0, float("nan"), None])) for i in range(60)]
     table = spark.createDataFrame(rows, "_row_id long, `#` long, ref_number string, v double")
-    groups = duplicates.exact_duplicates(table, broadcast_keys=broadcast_keys).collect()
+    groups = duplicates.exact_duplicates(table).collect()
 
     def key(value):
         return "<MISSING>" if value is None or value != value else str(value).strip()
@@ -311,3 +310,22 @@ def test_summary_of_nothing(spark):
     assert tuple(summary.accepted_ratio(empty).first()) == (0, 0.0)
     assert tuple(summary.status_counts(empty).first()) == (0, 0)
     assert summary.distribution(summary.variant_summary(empty), "status", "pair_count").count() == 0
+
+
+def test_few_long_names_are_not_broadcast_and_a_hot_name_is_split(spark):
+    long = "N" * 50_000
+    mapping = spark.createDataFrame([(long, "Short", "accepted", "", 100.0, "c"), ("Hot", "Cold", "accepted", "", 100.0, "c")], cleaning.MAPPING_SCHEMA)
+    table = spark.createDataFrame([(i, "Hot" if i % 2 else long if i % 4 else None) for i in range(400)], "_row_id long, recipient_legal_name string")
+    done = cleaning.apply_mapping(table, mapping, "recipient_legal_name", broadcast_bytes=1_000)
+    text = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in text and "Generate explode" in text
+    got = Counter(r[-1] for r in done.collect())
+    assert got == {"Cold": 200, "Short": 100, None: 100}
+
+
+def test_shared_word_does_not_send_every_pair_to_python(spark):
+    names = [f"CUSTOMER {a}{b}" for a in ("ALDER", "BIRCHWOOD", "CYPRESS", "DOGWOODS", "EBONY TREE") for b in ("", " NORTH", " 77", " XYZ", " QQQQ")]
+    pairs = spark.createDataFrame(list(itertools.combinations(names, 2)), "a string, b string")
+    passed = pairs.filter(scoring.may_reach(F.col("a"), F.col("b"), scoring.word_key(F.col("a")), scoring.word_key(F.col("b")), 80.0)).collect()
+    reach = {p for p in itertools.combinations(names, 2) if scoring.weighted_ratio(*p) >= 80}
+    assert reach <= {tuple(r) for r in passed} and len(passed) < 0.6 * pairs.count()

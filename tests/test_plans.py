@@ -5,7 +5,7 @@ import pytest
 from suite.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-PYTHON_ALLOWED = ("v8", "v9", "v10", "v11", "c1", "c2", "g3", "g4", "g5", "g6", "g10", "g11", "s4")
+PYTHON_ALLOWED = ("p9", "v8", "v9", "v10", "v11", "c1", "c2", "g3", "g4", "g5", "g6", "g10", "g11", "s4")
 
 
 def plan(df):
@@ -33,3 +33,8 @@ def test_names_are_scored_once(spark):
 def test_scans_read_only_what_is_used(spark):
     text = plan(QUERIES["v1_value_counts"](spark, SF_DIR))
     assert "o_totalprice" not in text and "o_orderdate" not in text
+
+
+@pytest.mark.parametrize("name", ["d2_identifier_duplicates", "d4_probable_duplicates", "d6_duplicate_groups"])
+def test_groups_combine_in_hash_maps(spark, name):
+    assert "SortAggregate" not in plan(QUERIES[name](spark, SF_DIR))
