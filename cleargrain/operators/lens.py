@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_string, contains_ignoring_case, equals_ignoring_case, quoted
 from ..functions.values import is_known_region, percent, start_year, to_number
+from .cleaning import cleaned_table
 from .profile import ROW_ID
 from .roles import DEFAULT_ROLES, Roles, display_columns
 from .summary import accepted_ratio, bars, facts, largest_duplicate_groups, status_counts
@@ -68,6 +71,11 @@ def lens_predicate(table: DataFrame, lens: Lens, roles: Roles = DEFAULT_ROLES) -
     if lens.owner:
         tests.append(equals_ignoring_case(quoted(roles.owner_title), lens.owner))
     if lens.year:
+        dated = isinstance(table.schema[roles.start].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        if dated and re.fullmatch(r"[1-9]\d{3}", lens.year) and lens.year != "9999":
+            # A range on the column itself, by which files and row groups can be skipped.
+            tests.append(quoted(roles.start) >= F.lit(f"{lens.year}-01-01").cast(table.schema[roles.start].dataType))
+            tests.append(quoted(roles.start) < F.lit(f"{int(lens.year) + 1}-01-01").cast(table.schema[roles.start].dataType))
         tests.append(F.coalesce(F.substring(quoted(roles.start).cast("string"), 1, 4) == lens.year, F.lit(False)))
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
@@ -77,6 +85,16 @@ def lens_filter(table: DataFrame, lens: Lens, roles: Roles = DEFAULT_ROLES) -> D
     return table.filter(lens_predicate(table, lens, roles))
 
 
+def cleaned_slice(table: DataFrame, mapping: DataFrame, lens: Lens, roles: Roles = DEFAULT_ROLES) -> DataFrame:
+    """Rows of the slice of the cleaned table.
+
+    Region, owner and year are columns of the source: their tests come before the names are
+    normalised and cleaned, and so reach the scan. Only the search looks at cleaned names.
+    """
+    rows = lens_filter(table, replace(lens, search=""), roles)
+    return lens_filter(cleaned_table(rows, mapping, roles), Lens(search=lens.search), roles)
+
+
 def preferred_recipient(roles: Roles = DEFAULT_ROLES) -> Column:
     """The cleaned recipient name where there is one, else the raw one; NULL when both are blank."""
     cleaned, raw = clean_string(quoted(roles.recipient_cleaned)), clean_string(quoted(roles.recipient))
@@ -184,11 +202,21 @@ def preview_status(table: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
     )
 
 
-def leaders(table: DataFrame, *, row_id: str = ROW_ID, roles: Roles = DEFAULT_ROLES) -> DataFrame:
-    """The most common owner, region and year, and their share of the slice's records."""
-    records = table.agg(F.count(F.lit(1)).alias("n")).scalar()
+def leaders(
+    table: DataFrame,
+    *,
+    counted: DataFrame | None = None,
+    records: int | None = None,
+    row_id: str = ROW_ID,
+    roles: Roles = DEFAULT_ROLES,
+) -> DataFrame:
+    """The most common owner, region and year, and their share of the slice's records.
+
+    Facets and the number of records that are known already need not be found again.
+    """
+    total = F.lit(records) if records is not None else table.agg(F.count(F.lit(1)).alias("n")).scalar()
     best = (
-        facets(table, row_id=row_id, roles=roles)
+        (facets(table, row_id=row_id, roles=roles) if counted is None else counted)
         .groupBy("facet")
         .agg(F.max(F.struct("records", (-F.col("first_row")).alias("earliest"), "label", "total_value")).alias("top"))
     )
@@ -197,7 +225,7 @@ def leaders(table: DataFrame, *, row_id: str = ROW_ID, roles: Roles = DEFAULT_RO
         F.col("top.label").alias("label"),
         F.col("top.records").alias("records"),
         F.col("top.total_value").alias("total_value"),
-        percent(F.col("top.records"), records).alias("share"),
+        percent(F.col("top.records"), total).alias("share"),
     )
 
 

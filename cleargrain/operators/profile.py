@@ -5,7 +5,7 @@ Every figure about every column comes from one pass whose sums are combined befo
 
 from __future__ import annotations
 
-import sys
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,36 +154,30 @@ def missing_values_report(
 def first_values(table: DataFrame, *, n: int = 3, row_id: str = ROW_ID) -> DataFrame:
     """The first ``n`` present values of each column in row order, joined by commas.
 
-    The first row of each of a few hash buckets gives, per column, a row id that at least ``n``
-    values do not exceed. A second pass then ranks just the values up to that row. Neither pass
-    sorts or moves more than a handful of rows per task and column.
+    A first pass takes the least row id of each column in each of a few hash buckets; the nth least
+    of these is one that at least ``n`` of the column's values do not exceed. It comes back as one
+    row, a number per column. The second pass keeps just the cells up to these rows; a column with
+    fewer values than that gives all it has. Only those cells are rendered and ranked.
     """
     fields = _fields(table, row_id)
-    values = {
-        f"c{i}": F.when(~is_missing(quoted(f.name), f.dataType), display(quoted(f.name), f.dataType))
-        for i, f in enumerate(fields)
-    }
-
-    def cells(rows: DataFrame) -> DataFrame:
-        named = rows.select(F.col(row_id).alias("at"), *[value.alias(name) for name, value in values.items()])
-        return named.unpivot(["at"], list(values), "cell", "value").filter(F.col("value").isNotNull())
-
-    buckets = F.pmod(F.xxhash64("at"), F.lit(64 * n))
-    limits = (
-        cells(table)
-        .groupBy("cell", buckets.alias("bucket"))
-        .agg(F.min("at").alias("at"))
-        .groupBy("cell")
-        .agg(F.get(F.array_sort(F.collect_list("at")), F.lit(n - 1)).alias("limit"))
-        .select("cell", F.coalesce("limit", F.lit(sys.maxsize)).alias("limit"))
+    at = F.col(row_id)
+    present = {f"c{i}": ~is_missing(quoted(f.name), f.dataType) for i, f in enumerate(fields)}
+    least = table.groupBy(F.pmod(F.xxhash64(at), F.lit(64 * n)).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.min(F.when(there, at)).alias(cell) for cell, there in present.items()]
     )
-    horizon = limits.agg(F.max("limit").alias("limit")).scalar()
+    limits = least.agg(
+        F.sum("rows").alias("rows"), *[F.get(F.array_sort(F.collect_list(cell)), F.lit(n - 1)).alias(cell) for cell in present]
+    ).first()
+    near = {cell: there if limits[cell] is None else there & (at <= limits[cell]) for cell, there in present.items()}
+    values = [
+        F.when(near[f"c{i}"], display(quoted(f.name), f.dataType)).alias(f"c{i}") for i, f in enumerate(fields)
+    ]
     first = Window.partitionBy("cell").orderBy("at")
     heads = (
-        cells(table.filter(F.col(row_id) <= horizon))
-        # One row per column of the table: as small as the header.
-        .join(F.broadcast(limits), "cell")
-        .filter(F.col("at") <= F.col("limit"))
+        table.filter(reduce(lambda a, b: a | b, near.values(), F.lit(False)))
+        .select(at.alias("at"), *values)
+        .unpivot(["at"], list(present), "cell", "value")
+        .filter(F.col("value").isNotNull())
         .withColumn("place", F.row_number().over(first))
         .filter(F.col("place") <= n)
     )

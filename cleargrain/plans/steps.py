@@ -35,9 +35,9 @@ def reports(
     score_bands: ScoreBands = ScoreBands(),
 ) -> Reports:
     """Run the reporting steps, each stored once because several figures read it."""
-    found, _ = settle(variants.variant_report(table, roles=roles, bands=score_bands))
-    gaps, _ = settle(profile.missing_values_report(table, row_id=row_id, lexical=lexical, bands=missing_bands))
-    groups, _ = settle(duplicates.duplicate_groups(table, row_id=row_id, roles=roles))
+    found = settle(variants.variant_report(table, roles=roles, bands=score_bands))
+    gaps = settle(profile.missing_values_report(table, row_id=row_id, lexical=lexical, bands=missing_bands))
+    groups = settle(duplicates.duplicate_groups(table, row_id=row_id, roles=roles))
     return Reports(
         size=profile.table_facts(table, name, row_id=row_id),
         missing=gaps,
@@ -70,10 +70,11 @@ def overview(
 ) -> dict[str, DataFrame]:
     """Everything the overview shows for one slice, as named tables."""
     done = reports(table, name, row_id=row_id, roles=roles, **options)
-    cleaned = cleaning.cleaned_table(table, done.mapping, roles)
-    part = lens.lens_filter(cleaned, chosen, roles)
-    counted = lens.facets(part, row_id=row_id, roles=roles)
-    top = lens.leaders(part, row_id=row_id, roles=roles)
+    # Ten outputs read the cleaned table and its slice, and six the facets.
+    cleaned = settle(cleaning.cleaned_table(table, done.mapping, roles))
+    part = settle(lens.lens_filter(cleaned, chosen, roles))
+    counted = settle(lens.facets(part, row_id=row_id, roles=roles))
+    top = lens.leaders(part, counted=counted, records=part.count(), row_id=row_id, roles=roles)
     return {
         "headline": lens.headline_counts(done.size, cleaned, done.missing, done.duplicates, done.mapping, row_id),
         "insights": lens.insights(done.missing, done.duplicates, done.variants, top),

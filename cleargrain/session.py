@@ -22,6 +22,8 @@ def configure(builder: SparkSession.Builder, *, shuffle_partitions: int | None =
         # Split a hot key even where that costs one more exchange downstream.
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Stored intermediates go when nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if shuffle_partitions:
@@ -49,22 +51,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid4().hex}"
 
 
-def settle(table: DataFrame) -> tuple[DataFrame, int]:
-    """Compute an intermediate result once, reliably stored, and count its rows.
+def settle(table: DataFrame) -> DataFrame:
+    """Compute an intermediate result once, reliably stored.
 
-    The files outlive lost executors, so later stages never recompute what led here.
+    The files outlive lost executors, so later stages never recompute what led here. Spark removes
+    them with the table if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     shared_dir(table.sparkSession)
-    stored = table.checkpoint(eager=True)
-    return stored, stored.count()
+    return table.checkpoint(eager=True)
 
 
 def broadcast_if_small(
     table: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES
 ) -> tuple[DataFrame, bool]:
     """Settle a table and mark it for broadcast only when its counted rows and bytes allow."""
-    shared_dir(table.sparkSession)
-    stored = table.checkpoint(eager=True)
+    stored = settle(table)
     sizes = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in stored.columns]
     rows, total = stored.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(sizes[1:], sizes[0])), F.lit(0))).first()
     return (F.broadcast(stored), True) if rows <= limit and total <= limit_bytes else (stored, False)

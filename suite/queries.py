@@ -597,9 +597,9 @@ def _(df):
     return lens.filter_options(df)
 
 
-@on_cleaned("l2_lens_filter")
+@on_agreements("l2_lens_filter")
 def _(df):
-    return lens.lens_filter(df, LENS)
+    return lens.cleaned_slice(df, _mapping(df), LENS)
 
 
 @on_cleaned("l3_key_figures")

@@ -38,3 +38,21 @@ def test_scans_read_only_what_is_used(spark):
 @pytest.mark.parametrize("name", ["d2_identifier_duplicates", "d4_probable_duplicates", "d6_duplicate_groups"])
 def test_groups_combine_in_hash_maps(spark, name):
     assert "SortAggregate" not in plan(QUERIES[name](spark, SF_DIR))
+
+
+def test_lens_tests_reach_the_scan(spark):
+    """Region and year are tested before names are normalised; the year of a date column is a range."""
+    text = plan(QUERIES["l2_lens_filter"](spark, SF_DIR))
+    normalizing = text.rindex("com.ibm.icu", 0, text.index("o_orderdate"))
+    assert "PushedFilters" in text and normalizing < text.rindex("qc")
+
+
+def test_year_of_a_date_column_is_pushed_down(spark, tmp_path):
+    from cleargrain.operators import lens
+
+    path = str(tmp_path / "dated")
+    spark.sql("SELECT id AS _row_id, date_add(DATE'2019-06-01', CAST(id AS INT)) AS agreement_start_date FROM range(900)").write.parquet(path)
+    rows = lens.lens_filter(spark.read.parquet(path), lens.Lens(year="2020"))
+    pushed = plan(rows).split("PushedFilters:")[1].split("]")[0]
+    assert "GreaterThanOrEqual(agreement_start_date,2020-01-01)" in pushed and "LessThan(a" in pushed
+    assert rows.count() == 366
