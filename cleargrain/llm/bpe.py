@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .texts import documents
 
-# A task encodes this many bytes of text, or distinct words, at a time.
-TEXT_BYTES = 24 << 20
-DISTINCT_WORDS = 400_000
+# A task encodes this much text, or so many distinct words, at a time: about 200 MB of arrays.
+TEXT_BYTES = 6 << 20
+DISTINCT_WORDS = 150_000
 # Tokens turned into ids and bytes at a time.
-GATHERED = 1 << 20
+GATHERED = 1 << 18
 
 _NONE = np.int64(1 << 40)
 
