@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from ..operators import cleaning, duplicates, lens, profile, summary, variants
 from ..operators.profile import ROW_ID
 from ..operators.roles import DEFAULT_ROLES, Roles
 from ..session import settle
+from ..sources import sinks
 
 
 @dataclass(frozen=True)
@@ -53,9 +55,27 @@ def final_report(table: DataFrame, name: str, **options) -> DataFrame:
     return summary.final_facts(done.size, done.missing, done.duplicates, done.variants, done.mapping)
 
 
-def clean(table: DataFrame, *, roles: Roles = DEFAULT_ROLES, bands: ScoreBands = ScoreBands()) -> DataFrame:
-    """Detect variants of the primary organization and apply the accepted ones."""
-    mapping = cleaning.cleaning_mapping(variants.variant_report(table, roles=roles, bands=bands))
+REPORT_NAMES = ("missing", "duplicates", "variants", "mapping")
+
+
+def store_reports(done: Reports, folder: str, *, protected: Iterable[str], fmt: str = "csv") -> dict[str, str]:
+    """Write each report to a folder of its own under ``folder``, for review; returns their paths."""
+    sources = list(protected)
+    return {
+        name: sinks.write_table(getattr(done, name), f"{folder.rstrip('/')}/{name}", protected=sources, fmt=fmt) for name in REPORT_NAMES
+    }
+
+
+def clean(
+    table: DataFrame, *, report: DataFrame | None = None, roles: Roles = DEFAULT_ROLES, bands: ScoreBands = ScoreBands()
+) -> DataFrame:
+    """Apply the accepted variants of the primary organization.
+
+    They are detected, unless a variant report is given: one stored earlier, and perhaps edited by a
+    reviewer (``tables.read_report`` with ``variants.VARIANT_SCHEMA``).
+    """
+    found = variants.variant_report(table, roles=roles, bands=bands) if report is None else report
+    mapping = cleaning.cleaning_mapping(found)
     return cleaning.cleaned_table(table, mapping, roles)
 
 

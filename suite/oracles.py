@@ -283,6 +283,12 @@ CTES: dict[str, str] = {
       {norm("owner_org_title")} AS owner_org_title_normalized_codex,
       coalesce(cleaned_value, recipient_legal_name) AS recipient_legal_name_cleaned_codex
       FROM agreements a LEFT JOIN accepted m ON {trim("recipient_legal_name")} = m.original_value""",
+    "edited_accepted": "SELECT original_value, cleaned_value FROM mapping WHERE status = 'accepted' OR similarity_score >= 90",
+    "edited_cleaned": f"""SELECT a.*, {norm("recipient_legal_name")} AS recipient_legal_name_normalized_codex,
+      {norm("recipient_operating_name")} AS recipient_operating_name_normalized_codex,
+      {norm("owner_org_title")} AS owner_org_title_normalized_codex,
+      coalesce(cleaned_value, recipient_legal_name) AS recipient_legal_name_cleaned_codex
+      FROM agreements a LEFT JOIN edited_accepted m ON {trim("recipient_legal_name")} = m.original_value""",
     "slice": f"SELECT * FROM cleaned WHERE {LENS}",
     **{
         f"{p}facets": f"""SELECT facet, label, count(*) AS records, sum(amount) AS total_value, min(_row_id) AS first_row FROM (
@@ -441,6 +447,7 @@ FINALS: dict[str, str] = {
     "s2_primary_table": f"{RANKED} ORDER BY is_candidate DESC, score DESC, revision DESC, row_count DESC, column_count DESC, position LIMIT 1",
     "s3_bounded_sample": "SELECT * FROM agreements ORDER BY _row_id LIMIT 5000",
     "s4_stored_report": "SELECT * FROM variants",
+    "s4_edited_report": "SELECT * FROM edited_cleaned",
     "s5_csv_round_trip": 'SELECT _row_id, CAST("#" AS VARCHAR) AS "#", '
     + ", ".join(
         f"strftime({c}, '%Y-%m-%dT%H:%M:%S.000') AS {c}" if kind == "date" else f"CAST({c} AS VARCHAR) AS {c}"

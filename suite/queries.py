@@ -117,6 +117,16 @@ def _(spark, sf_dir):
     return tables.read_report(spark, path, variants.VARIANT_SCHEMA)
 
 
+@query("s4_edited_report")
+def _(spark, sf_dir):
+    """Store the reports, read the variants back, accept the better half of those in review, clean."""
+    df = agreements(spark, sf_dir)
+    paths = steps.store_reports(steps.reports(df, "agreements", lexical=True), scratch_path(spark, "reports"), protected=[sf_dir])
+    report = tables.read_report(spark, paths["variants"], variants.VARIANT_SCHEMA)
+    edited = report.withColumn("status", F.when(F.col("similarity_score") >= 90, "accepted").otherwise(F.col("status")))
+    return steps.clean(df, report=edited)
+
+
 @query("s5_csv_round_trip")
 def _(spark, sf_dir):
     rows = agreements(spark, sf_dir).drop("_row_id", "foreign_currency_value")
