@@ -27,11 +27,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .texts import documents
+from .texts import documents, small_batches
 
-# A task encodes this much text, or so many distinct words, at a time: about 200 MB of arrays.
-TEXT_BYTES = 6 << 20
-DISTINCT_WORDS = 150_000
+# A task encodes this much text, or so many distinct words, at a time: about 130 MB of arrays.
+TEXT_BYTES = 4 << 20
+DISTINCT_WORDS = 100_000
 # Tokens turned into ids and bytes at a time.
 GATHERED = 1 << 18
 
@@ -207,6 +207,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, keep_ids: bool = F
     """
     docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "ids")
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(vars(Vocabulary(read_ranks(ranks_path))))
     carried = [c for c in docs.columns if c != "text"]
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .texts import blocks, documents, random_words, text_bytes
+from .texts import blocks, documents, random_words, small_batches, text_bytes
 
 BUCKETS = 512
 # Fixed values of the digest: the places of each kind of triplet, and how far differences count.
@@ -94,6 +94,7 @@ def likeness(left: str, right: str) -> float:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Adds the digest of ``text`` as ``fingerprint``; the text is dropped, all else carried."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("fingerprint")
     carried = [c for c in docs.columns if c != "text"]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text") + "fingerprint string"
@@ -117,6 +118,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     come last. Each row is exchanged once, and once more if it begins a range.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"))
     cuts = ids.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)] or [0.5], 10_000)).first()[0] or []

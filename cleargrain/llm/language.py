@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .texts import documents, held_out, mix
+from .texts import documents, held_out, mix, small_batches
 
 BUCKETS = 1 << 16
 GRAMS = 3
@@ -63,6 +63,7 @@ def learn(labelled: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> tuple[l
 
     About ``per_language`` documents of each language are counted, chosen by a hash of their id.
     """
+    small_batches(labelled.sparkSession)
     labelled = labelled.filter("lang IS NOT NULL")
     known = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(known) > MOST_LANGUAGES:
@@ -100,6 +101,7 @@ def learn(labelled: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> tuple[l
 
 def predict(docs: DataFrame, languages: list[str], logs: np.ndarray) -> DataFrame:
     """Adds ``lang_pred`` and ``score``, its probability, to rows with a ``text``, which is dropped."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(logs)
     carried = [c for c in docs.columns if c != "text"]

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .components import connected_components
-from .texts import blocks, documents, mix, random_words, shingles, text_bytes
+from .texts import blocks, documents, mix, random_words, shingles, small_batches, text_bytes
 
 ROWS = 5
 MISS = 1e-6
@@ -244,6 +244,7 @@ def near_duplicates(
 
     Two rows link when 100 * intersection >= ``percent`` * union of their sets of ``shingle`` words.    """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = scratch_path(spark, "minhash")
     similarity = percent / 100
     bands = bands_needed(similarity, rows, miss)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .texts import Rolling, blocks, bounded_sample, documents, held_out, text_bytes, words
+from .texts import Rolling, blocks, bounded_sample, documents, held_out, small_batches, text_bytes, words
 
 SAMPLE = 5_000
 STEPS = 400
@@ -164,6 +164,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = STEPS) -> tup
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, float]:
     """Fit on about ``sample`` rows with quality 1 and as many of all rows, labels unseen."""
+    small_batches(docs.sparkSession)
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
     positive = bounded_sample(docs.join(good, docs.doc_id == good.good_id, "left_semi"), sample, "good")
     unlabelled = bounded_sample(docs, sample, "any")
@@ -176,6 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Adds ``score`` and ``predicted``; other columns, the text too, are carried."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     names = docs.columns
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema) + "score double, predicted int"

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .texts import BLOCK_BYTES, Rolling, blocks, documents, text_bytes
+from .texts import BLOCK_BYTES, Rolling, blocks, documents, small_batches, text_bytes
 
 LENGTH = 400
 BATCHES = 4
@@ -46,7 +46,7 @@ _RUNS = "key long, fp long, doc_id long, h int, start int, n int"
 _UNSURE = "key long, fp long, copies int, kinds long, doc_id long, h int, start int, bytes binary"
 _WINDOWS = "key long, window long, copies int, doc_id long, h int, start int"
 _SPANS = "doc_id long, h int, start int, stop int"
-_KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -304,7 +304,7 @@ def _cut(docs: DataFrame, carry: tuple[str, ...], keep_text: bool) -> DataFrame:
                     runs.append(0)
                 removed.append(len(own) - len(rest))
                 prints.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest if keep_text else None)
+                kept.append(rest.decode("utf-8", "ignore") if keep_text else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -312,10 +312,10 @@ def _cut(docs: DataFrame, carry: tuple[str, ...], keep_text: bool) -> DataFrame:
                     pa.array(removed, pa.int64()),
                     pa.array(runs, pa.int64()),
                     pa.array(prints, pa.string()),
-                    pa.array(kept, pa.binary()),
+                    pa.array(kept, pa.string()),
                 ]
                 + [row_.field(c) for c in carry],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *carry],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *carry],
             )
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema["row"].dataType}
@@ -328,11 +328,13 @@ def remove_repeats(
     """Each row without the bytes covered by any string of ``length`` bytes that starts twice.
 
     Takes ``doc_id`` and ``text``, passes the columns named in ``carry`` on, and returns ``doc_id,
-    n_bytes, n_removed, n_spans, kept_sha256`` and, with ``keep_text``, the bytes left as ``kept``.
+    n_bytes, n_removed, n_spans, kept_sha256`` and ``text``: null or, with ``keep_text``, what is left, but
+    for bytes that a cut has left of a character.
     Rows are told apart by id and hash of the text. ``batches`` is the number of additions to the
     index; the result does not depend on it.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = scratch_path(spark, "suffixes")
     text = F.coalesce("text", F.lit("")).alias("text")
     plain = docs.select("doc_id", F.hash("text").alias("h"), text)
@@ -373,18 +375,5 @@ def remove_repeats(
     return _cut(joined, carry, keep_text)
 
 
-def as_text(cut: DataFrame) -> DataFrame:
-    """Adds ``text`` to rows with the bytes ``kept``; bytes that no longer form a character are left out."""
-    names = [c for c in cut.columns if c != "kept"]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in cut.schema if f.name != "kept") + "text string"
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(b or b"").decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "text"])
-
-    return cut.mapInArrow(read, schema)
-
-
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir, "doc_id", "text")).drop("kept")
+    return remove_repeats(documents(spark, sf_dir, "doc_id", "text")).drop("text")

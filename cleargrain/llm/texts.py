@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes of text worked on at a time; arrays of eight bytes per byte of text are made of it.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+# Rows that go to Python at once. Texts of some kilobytes make buffers of some megabytes; Spark's own
+# default of 10,000 rows would make them ten times as large, in the JVM and in Python.
+BATCH_ROWS = 1_000
 # The bytes that separate words, and A-Z.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -27,6 +30,13 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to BATCH_ROWS, if it is higher; results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """Whether the row is kept from learning; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus == remainder

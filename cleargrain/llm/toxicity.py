@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .texts import LOWER_VALUES, Rolling, blocks, bounded_sample, documents, held_out, text_bytes
+from .texts import LOWER_VALUES, Rolling, blocks, bounded_sample, documents, held_out, small_batches, text_bytes
 
 SAMPLE = 12_000
 WORDS = 4_096
@@ -186,6 +186,7 @@ def _known_words(bagged: DataFrame, toxic_docs: int, all_docs: int) -> np.ndarra
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on about ``sample`` labelled documents (``doc_id, text``; ``doc_id, toxic``)."""
+    small_batches(docs.sparkSession)
     marks = labels.filter("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg((F.max("toxic") == 1).alias("toxic"))
     chosen = bounded_sample(docs.join(marks, docs.doc_id == marks.id).select("doc_id", "text", "toxic"), sample, "toxic")
     bagged = _bag_words(chosen.select("text", "toxic"))
@@ -221,6 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``score``, ``predicted`` and ``offending``: the sentences that reach the threshold alone,
     or else the highest of a document that reaches it, as byte spans. ``text`` is dropped, all else carried."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted", "offending")
     carried = [c for c in docs.columns if c != "text"]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")

@@ -54,7 +54,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that occur again; what a cut leaves of a character goes too."""
     cut = suffix_index.remove_repeats(docs, carry=("lang", "source"), keep_text=True)
-    return suffix_index.as_text(cut).select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+    return cut.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -312,6 +312,24 @@ def test_pipeline_stages(spark, tmp_path):
         seen.append(name)
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == before.columns
+        if name == "quality classifier":
+            good = QUERIES["op5_quality_classifier"](spark, SF_DIR).filter("predicted = 1").collect()
+            assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in good}
+        if name == "mixing sources to target weights":
+            sizes, taken = Counter(), Counter()
+            for table, count in ((before, sizes), (docs, taken)):
+                for r in table.collect():
+                    count[r.source] += len(brute.WORD.findall(r.text))
+            want = brute.targets(dict(sizes), mixing.WEIGHTS, mixing.SHARE, mixing.MOST)
+            assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+            whole = {r.doc_id: r.text for r in before.collect()}
+            assert all(whole[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) for r in docs.collect())
+        if name == "byte-level BPE":
+            tokenizers, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
+            ranks = bpe.read_ranks(tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+            plain = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            want = Counter((r.doc_id, tuple(plain.encode_ordinary(r.text))) for r in before.collect())
+            assert Counter((r.doc_id, tuple(r.ids)) for r in docs.collect()) == want
         if name == "MinHash near-dedup":
             groups = brute.components({r.doc_id: r.text for r in before.collect()}, 5, 80)
             assert {r.doc_id for r in docs.collect()} == {d for d, (_, _, kept) in groups.items() if kept}
