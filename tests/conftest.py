@@ -18,8 +18,9 @@ def spark():
         .appName("tests")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
-        # A few thousand rows per query: compiling each stage would take most of the time.
-        .config("spark.sql.codegen.wholeStage", "false")
+        # A few thousand rows per query: compiling each stage would take most of the time. TEST_CODEGEN=true
+        # runs what users run.
+        .config("spark.sql.codegen.wholeStage", os.environ.get("TEST_CODEGEN", "false"))
     )
     session = configure(builder, shuffle_partitions=4).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
