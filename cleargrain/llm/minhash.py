@@ -193,21 +193,13 @@ def _across(members: DataFrame, floors: list[tuple[int, int]], rows: int, percen
         i, j = key[1].as_py(), key[2].as_py()
         sig = _matrix(table.column("sig").combine_chunks())
         by_band = sig.reshape(len(sig), -1, rows)
-        node, component, tile = (table.column(c).to_numpy() for c in ("node", "component", "tile"))
+        node, component, tile = (table.column(c).to_numpy().copy() for c in ("node", "component", "tile"))
         band = table.column("band")[0].as_py()
         sets = [np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()]
         sizes = np.array([len(x) for x in sets])
         starts = np.cumsum(sizes) - sizes
         names, flat = np.unique(np.concatenate(sets), return_inverse=True)
         marked = np.zeros(len(names), np.int64)
-        root = {c: c for c in component.tolist()}
-
-        def top(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
         left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
         us, vs = [], []
         for x in left.tolist():
@@ -227,9 +219,9 @@ def _across(members: DataFrame, floors: list[tuple[int, int]], rows: int, percen
             both = np.add.reduceat(marked[flat[at]], ends - sizes[ys])
             marked[mine] = 0
             for y in ys[100 * both >= percent * (sizes[x] + sizes[ys] - both)].tolist():
-                a, b = top(int(component[x])), top(int(component[y]))
-                if a != b:
-                    root[a] = b
+                if component[x] != component[y]:
+                    # From here on the two are one, and their members need no comparison.
+                    component[component == component[y]] = component[x]
                     us.append(min(node[x], node[y]))
                     vs.append(max(node[x], node[y]))
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
