@@ -28,8 +28,8 @@ from .texts import LOWER_VALUES, Rolling, blocks, bounded_sample, documents, hel
 
 SAMPLE = 12_000
 WORDS = 4_096
-# A word must be in so many of the toxic documents, at least three.
-LEAST_TOXIC_SHARE = 0.02
+# A word must be in so many of the toxic documents that are learned from.
+LEAST_TOXIC_DOCS = 4
 STEPS = 300
 THRESHOLD = 0.3
 # What a word is made of, and what ends a sentence.
@@ -177,7 +177,7 @@ def _known_words(bagged: DataFrame, toxic_docs: int, all_docs: int) -> np.ndarra
     tells = (F.col("toxic") - F.col("docs") * rate) / F.sqrt(F.col("docs") * rate + 1)
     top = (
         counts.agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
-        .filter((F.col("toxic") >= max(3, LEAST_TOXIC_SHARE * toxic_docs)) & (tells > 3))
+        .filter((F.col("toxic") >= LEAST_TOXIC_DOCS) & (tells > 3))
         .orderBy(tells.desc(), "word")
         .limit(WORDS)
     )
