@@ -230,11 +230,14 @@ def _across(members: DataFrame, floors: list[tuple[int, int]], rows: int, percen
 
 
 def near_duplicates(
-    docs: DataFrame, *, shingle: int = 5, percent: int = 80, rows: int = ROWS, miss: float = MISS
+    docs: DataFrame, *, shingle: int = 5, percent: int = 80, rows: int = ROWS, miss: float = MISS, groups: bool = False
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, text_hash`` per row; the smallest id of a component names it.
 
-    Two rows link when 100 * intersection >= ``percent`` * union of their sets of ``shingle`` words.    """
+    Two rows link when 100 * intersection >= ``percent`` * union of their sets of ``shingle`` words.
+    ``groups`` adds ``group``, which tells components apart where ids are null or repeat; it is null
+    for a row without shingles.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     folder = scratch_path(spark, "minhash")
@@ -249,8 +252,9 @@ def near_duplicates(
     plain = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sets = stored(_signatures(plain.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), shingle, bands * rows), "sets")
     nodes = sets.filter("n_shingles > 0").groupBy("a", "b").agg(
-        F.min("doc_id").alias("first"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")
+        F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")
     )
+    nodes = nodes.select("a", "b", F.col("least.doc_id").alias("first"), F.col("least.text_hash").alias("first_hash"), "sig", "n_shingles")
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     buckets = _buckets(nodes, bands, rows)
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -267,8 +271,11 @@ def near_duplicates(
     )
     likely_pairs = _prune(signed, floors)
 
-    wanted = shared.select("node").distinct().join(nodes.select("node", "a", F.col("first").alias("doc_id")), "node")
-    full = stored(_full_sets(plain.select("doc_id", "text").join(wanted, "doc_id"), shingle).dropDuplicates(["node"]), "full")
+    # By id and text: one id can stand for many nodes.
+    first = nodes.select("node", "a", F.col("first").alias("doc_id"), F.col("first_hash").alias("text_hash"))
+    wanted = shared.select("node").distinct().join(first, "node")
+    hashed = plain.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    full = stored(_full_sets(hashed.join(wanted, ["doc_id", "text_hash"]), shingle).dropDuplicates(["node"]), "full")
     links = stored(_verified(likely_pairs, full, percent), "links")
     found = connected_components(links)
 
@@ -293,13 +300,13 @@ def near_duplicates(
     of_node = nodes.select("a", "b", "node", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_node = of_node.select("a", "b", "component", "first")
     names = of_node.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = of_node.join(names, "component").select("a", "b", "component_id")
+    named = of_node.join(names, "component").select("a", "b", "component_id", F.col("component").alias("group"))
     ids = sets.select("doc_id", "text_hash", "n_shingles", "a", "b").join(named, ["a", "b"], "left").select(
-        "doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "text_hash", "n_shingles", "group", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
     out = ids.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     return out.select(
-        *(F.nullif(F.col(c), F.lit(_NO_ID)).alias(c) if c != "n_shingles" else F.col(c) for c in ("doc_id", "n_shingles", "component_id")), "kept", "text_hash"
+        *(F.nullif(F.col(c), F.lit(_NO_ID)).alias(c) if c != "n_shingles" else F.col(c) for c in ("doc_id", "n_shingles", "component_id")), "kept", "text_hash", *(["group"] if groups else [])
     )
 
 

@@ -33,13 +33,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
+    """Of each group of near duplicates the document with the smallest id, of several the one with the smallest hash."""
     path = f"{scratch_path(spark, 'groups')}/rows"
-    minhash.near_duplicates(docs, shingle=NEAR_WORDS, percent=NEAR_PERCENT).write.parquet(path)
-    rows = spark.read.parquet(path).groupBy("doc_id", "component_id", "kept", "n_shingles", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
-    # Rows that share the smallest id of their group: the one with the smallest hash stays.
-    first = rows.filter("n_shingles > 0 AND doc_id <=> component_id").groupBy("component_id").agg(F.min(F.struct("text_hash", "copies")).alias("at"))
-    first = first.select(F.col("component_id").alias("kept_id"), "at.*")
+    minhash.near_duplicates(docs, shingle=NEAR_WORDS, percent=NEAR_PERCENT, groups=True).write.parquet(path)
+    rows = spark.read.parquet(path).groupBy("doc_id", "group", "n_shingles", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    # An id does not name a group: it can be null or repeat.
+    first = rows.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash", "copies")).alias("at"))
+    first = first.select(F.col("at.doc_id").alias("kept_id"), "at.text_hash", "at.copies")
     alone = rows.filter("n_shingles = 0").select(F.col("doc_id").alias("kept_id"), "text_hash", F.lit(1).cast("long").alias("copies"))
     chosen = first.union(alone)
     text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash_")

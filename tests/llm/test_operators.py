@@ -349,6 +349,21 @@ def test_stages_on_odd_rows(spark, odd, no_rows):
         assert stage(spark, no_rows.select(*corpus_pipeline.COLUMNS), SF_DIR).count() == 0
 
 
+def test_groups_with_null_and_repeated_ids(spark):
+    """Only near duplicates go, whatever the ids: one of each pair of texts stays."""
+    texts = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(12)]
+    ids = [None, None, None, None, 7, 7, 7, 8, 9, 10, None, 7]
+    near = [(ids[(k * 5) % 12], t + " tail") for k, t in enumerate(texts)]
+    rows = [*zip(ids, texts, strict=True), *near, (None, texts[0]), (None, ""), (None, None), (7, " ")]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.one_of_each_group(spark, docs, SF_DIR).collect()
+    kept = Counter((r.text or "").split(" ")[0] for r in got)
+    assert kept == Counter({**{f"t{k}w0": 1 for k in range(12)}, "": 3})
+    for k, text in enumerate(texts):
+        least = min((d is not None, d or 0) for d, t in rows if t and t.startswith(text))
+        assert [(r.doc_id is not None, r.doc_id or 0) for r in got if (r.text or "").startswith(text)] == [least]
+
+
 def test_held_out_rule(spark):
     import zlib
 
