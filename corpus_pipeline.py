@@ -20,6 +20,8 @@ from cleargrain.session import scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+# A passage of 50 words has about so many bytes if they are short, 4 with the space; op1 has its own length.
+REPEAT_BYTES = 200
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 # SQL cannot express a trained classifier, nor the merges of the last stage.
@@ -52,8 +54,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that occur again; what a cut leaves of a character goes too."""
-    cut = suffix_index.remove_repeats(docs, carry=("lang", "source"), keep_text=True)
+    """Texts without strings of REPEAT_BYTES that occur again; what a cut leaves of a character goes too."""
+    cut = suffix_index.remove_repeats(docs, REPEAT_BYTES, carry=("lang", "source"), keep_text=True)
     return cut.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 

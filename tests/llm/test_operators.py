@@ -349,6 +349,21 @@ def test_stages_on_odd_rows(spark, odd, no_rows):
         assert stage(spark, no_rows.select(*corpus_pipeline.COLUMNS), SF_DIR).count() == 0
 
 
+def test_passages_of_fifty_words_go(spark):
+    """Planted in two documents each, 51 to 60 words of two to five letters: under 400 bytes."""
+    short = ["ab", "efg", "hij", "klmn", "opqrs"]
+    passages = {n: " ".join(f"{short[i % 5][:-1]}{chr(97 + (i * n + i // 5) % 26)}" for i in range(n)) for n in range(51, 61)}
+    assert all(200 <= len(p) < 400 for p in passages.values())
+    own = [" ".join(f"d{d}w{i}" for i in range(30)) for d in range(20)]
+    rows = [(d, f"{own[d]} | {passages[51 + d // 2]} # {own[d][::-1]}", "en", "a") for d in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in corpus_pipeline.without_repeats(spark, docs, SF_DIR).collect()}
+    assert len(got) == 20
+    for d in range(20):
+        assert passages[51 + d // 2][:20] not in got[d].text and passages[51 + d // 2][-20:] not in got[d].text and got[d].n_chars == len(got[d].text)
+        assert got[d].text.startswith(own[d].rsplit(" ", 1)[0]) and got[d].text.endswith(own[d][::-1].split(" ", 1)[1])
+
+
 def test_groups_with_null_and_repeated_ids(spark):
     """Only near duplicates go, whatever the ids: one of each pair of texts stays."""
     texts = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(12)]
