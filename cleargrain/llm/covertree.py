@@ -13,7 +13,8 @@ numbers and computed exactly. The best k of each block pair are merged per query
 
 Results for odd input: a vector that is null or holds a null or non-finite component, or has no id,
 takes no part; vectors of different lengths are never compared; rows equal in id and vector count
-once, and all rows with the query's id count as its own; a query without candidates has no rows;
+once; other rows of one id are candidates, and as queries are ranked together; all rows with the
+query's id count as its own; a query without candidates has no rows;
 an empty table gives an empty result; a score beyond a long is cut to the largest or smallest long;
 other columns are ignored.
 """
@@ -101,11 +102,8 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, id
                     at = at[own[at] >= np.partition(own[at], len(at) - k)[len(at) - k]]
                 if len(at):
                     found = best[row] + [(int(own[j]), int(ids[b.rows[j]])) for j in at.tolist()]
-                    found = sorted(set(found), key=lambda s: (-s[0], s[1]))
-                    once: dict[int, int] = {}
-                    for score, name in found:
-                        once.setdefault(name, score)
-                    best[row] = [(score, name) for name, score in list(once.items())[:k]]
+                    # A pair of leaves meets once, so every row of an id is a candidate of its own.
+                    best[row] = sorted(found, key=lambda s: (-s[0], s[1]))[:k]
                     if len(best[row]) == k:
                         kth[row] = float(best[row][-1][0]) if exact else np.nextafter(float(best[row][-1][0]), -np.inf)
             continue
@@ -126,7 +124,7 @@ def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def top_k(data: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of the k best rows for each query; both sides ``vec_id, vector``."""
+    """``query_id, rank, vec_id, score`` of the k best rows for each query; both sides distinct rows ``vec_id, vector``."""
     queries = queries.select(*(F.col(c).alias(c) for c in ("vec_id", "vector")))  # columns of its own, should both be one table
     sides = {}
     counts = (
@@ -136,7 +134,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     )
     for side, parts, other, other_parts in (("d", "d_parts", "q", "q_parts"), ("q", "q_parts", "d", "d_parts")):
         rows = (data if side == "d" else queries).withColumn("width", F.size("vector")).join(counts, "width")
-        own = F.pmod(F.xxhash64("vec_id"), F.col(parts)).alias(side)
+        own = F.pmod(F.xxhash64("vec_id", "vector"), F.col(parts)).alias(side)
         sides[side] = rows.select("width", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_parts) - 1)).alias(other), "vec_id", "vector")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -157,7 +155,6 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     keys = ("width", "d", "q")
     found = sides["q"].groupBy(*keys).cogroup(sides["d"].groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -5,6 +5,7 @@ import os
 from collections import Counter, defaultdict
 
 import brute
+import duckdb
 import pytest
 from compare import connect, differences
 from conftest import TEXTS
@@ -94,6 +95,22 @@ def test_top_k_on_odd_vectors(spark):
     assert covertree.top_k(data.limit(0), data.limit(0)).count() == 0
 
 
+def test_top_k_of_an_id_with_many_vectors(spark, tmp_path):
+    """Eleven high vectors of one id, a query id with two vectors, and more rows than a leaf holds."""
+    rows = [(0, [1.0, 0.0]), (100, [1.0, 0.5]), (100, [-1.0, 0.25])] + [(1, [9.0 + j, 0.5]) for j in range(11)]
+    rows += [(1, [-5.0 - j, 1.0]) for j in range(3)] + [(k, [k / 64, -k / 32]) for k in range(2, 90)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    data = covertree.whole_vectors(table)
+    queries = data.filter("vec_id % 100 = 0")
+    table.write.parquet(str(tmp_path / "embeddings"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings/*.parquet'")
+    for k in (10, 15):
+        want = con.execute(covertree.OP3_SQL.replace("rank <= 10", f"rank <= {k}")).fetchall()
+        got = [tuple(r) for r in covertree.top_k(data, queries, k).collect()]
+        assert len(want) == 2 * k and sorted(got) == sorted(want)
+
+
 # 4, 5, 8
 
 
