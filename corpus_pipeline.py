@@ -11,7 +11,6 @@ near duplicates go.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +66,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, with their number and the prints of the ids and of the bytes they decode to."""
+    import public_tokenizers
+
     rows = docs.select("doc_id", "lang", "source", "text")
     return bpe.encode(rows, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep_ids=True)
 
@@ -89,3 +90,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
+
+
+QUERIES = {"pipeline": run}
+ORACLES = {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}

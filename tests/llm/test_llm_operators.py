@@ -352,7 +352,7 @@ def test_pipeline_stages(spark, tmp_path):
             assert {r.doc_id for r in docs.collect()} == {d for d, (_, _, kept) in groups.items() if kept}
         if name == "suffix-array dedup":
             rows = before.orderBy("doc_id").collect()
-            cut = brute.repeats([r.text for r in rows], 400)
+            cut = brute.repeats([r.text for r in rows], corpus_pipeline.REPEAT_BYTES)
             for r, (_, gone, _, _) in zip(docs.orderBy("doc_id").collect(), cut, strict=True):
                 assert (gone == 0) == (r.text == texts[r.doc_id]) and r.n_chars == len(r.text)
     assert len(seen) == 5 and docs.count() > 0 and docs.filter("n_tokens = 0").count() == 0

@@ -286,7 +286,7 @@ def test_outputs_never_touch_inputs(spark, tmp_path):
         sinks.check_output("s3://bucket/raw/out", ["s3://bucket/raw"])
     assert sinks.check_output(str(tmp_path / "rawer"), [str(raw)])
     table = spark.range(3).select(F.col("id").cast("string").alias("a"))
-    written = sinks.write_table(table, scratch_path(spark, "t"), protected=[str(raw)])
+    written = sinks.write_table(table, scratch_path(spark, "t"), protected=[str(raw)], fmt="csv")
     assert tables.read_csv(spark, written, key="a").count() == 3
 
 
