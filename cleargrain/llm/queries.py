@@ -10,6 +10,7 @@ from .language import op4_language_id
 from .minhash import op7_minhash_near_dedup
 from .mixing import op6_source_mixing
 from .quality import op5_quality_classifier
+from .repair import op11_conversation_repair
 from .suffix_index import op1_suffix_array_dedup
 from .toxicity import op8_toxicity
 
@@ -26,6 +27,7 @@ QUERIES = {
         op8_toxicity,
         op9_document_fingerprints,
         op10_byte_bpe,
+        op11_conversation_repair,
     )
 }
 ORACLES = {"op2_chat_perspectives": OP2_SQL, "op3_exact_top_k": OP3_SQL}

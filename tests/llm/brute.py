@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections import Counter, defaultdict
 
@@ -70,3 +71,44 @@ def targets(sizes: dict[str | None, int], weights: tuple, share: float, most: in
         full |= over
         if len(full) == len(order):
             return {s: most * sizes[s] for s in order}
+
+
+def repaired(rows: list[tuple]) -> tuple:
+    """Faults, cheapest edits and print of the repaired (turn, role, text) rows of one conversation."""
+    rows = sorted(((t, r if r is not None else " ", x if x is not None else " ") for t, r, x in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    faults, seen = [], set()
+    for _, role, text in rows:
+        end = text.rstrip(" \t\n\x0b\x0c\r")[-1:]
+        faults.append("blank" if not end else "duplicate" if (role, text) in seen else "sound" if end in ".!?" else "truncated")
+        seen.add((role, text))
+    # Cheapest first, and of equal cost the first audit: what comes out first at a place with some roles said is the best there.
+    begun = re.compile(r"s?(ua)*u?")
+    open_, done = [(0, "", 0, "", ())], set()
+    while True:
+        cost, audit, i, roles, turns = heapq.heappop(open_)
+        if i == len(rows) and re.fullmatch(r"(s?(ua)+)?", roles):
+            break
+        # What was said before the last turn makes no difference, but for whether anything was.
+        if (i, roles[-1:]) in done:
+            continue
+        done.add((i, roles[-1:]))
+        steps = [("I", 2, i, new, "") for new in ("user", "assistant")]
+        if i < len(rows):
+            _, role, text = rows[i]
+            heapq.heappush(open_, (cost + 3, audit + "D", i + 1, roles, turns))
+            if faults[i] in ("sound", "truncated"):
+                late = faults[i] == "truncated"
+                steps += [("K", late, i + 1, role, text), *(("R", 2 + late, i + 1, new, text) for new in ("user", "assistant"))]
+        for letter, more, after, role, text in steps:
+            if role and begun.fullmatch(roles + role[0]) and roles + role[0] != "":
+                heapq.heappush(open_, (cost + more, audit + letter, after, roles + role[0], (*turns, (role, text))))
+    known = [t for t, *_ in rows if t is not None]
+    initials = [r[:1] for _, r, _ in rows]
+    return (
+        max(known) - min(known) + 1 - len(set(known)) if known else 0,
+        *(faults.count(f) for f in ("blank", "duplicate", "truncated")),
+        sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])),
+        cost,
+        audit,
+        hashlib.sha256("\n".join(f"{r}:{x}" for r, x in turns).encode()).hexdigest(),
+    )

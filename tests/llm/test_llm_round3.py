@@ -1,0 +1,94 @@
+"""Conversation repair, the Merkle manifest and secret scans, against plain versions."""
+
+import os
+import random
+import zlib
+from collections import defaultdict
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cleargrain.llm import repair
+from cleargrain.llm.queries import QUERIES
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def plain_damage(rows):
+    """Conversations by id after the damage, with those that lost every turn."""
+    out = defaultdict(list)
+    for conv, turn, role, text in rows:
+        spelled = [" " if v is None else str(v) for v in (conv, turn)]
+        role, text = (" " if v is None else v for v in (role, text))
+        how = zlib.crc32(":".join(spelled).encode()) % 20
+        text = "" if how == 1 else "".join(c for c in text if c not in ".!?") if how == 2 else text
+        turns = [] if how == 0 else [(turn, "user" if how == 4 else role, text)] * (2 if how == 3 else 1)
+        out[conv] += turns
+    return out
+
+
+def repairs(df):
+    return {r.conv_id: tuple(r)[1:] for r in df.collect()}
+
+
+def odd_turns(n=400):
+    rng = random.Random(5)
+    roles = ["user", "assistant", "system", "user", "assistant", None, "", "tool", "User", "anna"]
+    texts = ["Yes.", "no", "Why?", "", None, " \n", "well.  ", "so... ", "漢字!", "a:b\nuser:x.", "Yes"]
+    rows = []
+    for conv in range(n):
+        size = rng.randrange(1, 12)
+        own = rng.choice([roles[:2], roles[:3], roles])
+        rows += [(conv if conv else None, rng.choice([None, *range(9)]), rng.choice(own), rng.choice(texts)) for _ in range(size)]
+    # One of the conversations lost all but its first turns' roles; another is long and of one role.
+    rows += [(n + 1, t, "system", f"t{t}.") for t in range(40)] + [(n + 2, t, ("user", "assistant")[t % 2], "same.") for t in range(30)]
+    return rows + rows[:20]
+
+
+@pytest.mark.parametrize("block", [1, 3, 1 << 16])
+def test_repair_equals_the_plain_search(spark, block):
+    rows = odd_turns()
+    df = spark.createDataFrame([(*r, "k", 1) for r in rows], TURNS + ", key string, fault int")
+    got = repairs(repair.repair(df, block=block))
+    by_id = defaultdict(list)
+    for conv, *turn in rows:
+        by_id[conv].append(tuple(turn))
+    assert got == {conv: brute.repaired(turns) for conv, turns in by_id.items()}
+
+
+def test_repaired_turns_are_what_was_printed(spark):
+    import hashlib
+    import re
+
+    df = spark.createDataFrame(odd_turns(120), TURNS)
+    done = repair.repair(df)
+    texts = defaultdict(list)
+    for r in repair.repaired_turns(df, done).orderBy("place").collect():
+        texts[r.conv_id].append((r.role, r.text))
+    for conv, found in repairs(done).items():
+        turns = texts.get(conv, [])
+        assert hashlib.sha256("\n".join(f"{r}:{t}" for r, t in turns).encode()).hexdigest() == found[-1]
+        assert re.fullmatch("(s?(ua)+)?", "".join(r[0] for r, _ in turns))
+
+
+def test_repair_of_nothing_and_of_lost_conversations(spark):
+    none = spark.createDataFrame([], TURNS)
+    assert repair.repair(none).count() == 0 and repair.damage(none).count() == 0
+    gone = spark.createDataFrame([(1, 2, "user", "x", True), (None, 2, "user", "x", True)], TURNS + ", gone boolean")
+    empty = (0, 0, 0, 0, 0, 0, "", "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855")
+    assert repairs(repair.repair(gone, absent="gone")) == {1: empty, None: empty}
+    assert repair.repair(gone, absent="gone").columns == ["conv_id", *repair.COUNTS, "audit", "repaired_sha256"]
+
+
+def test_op11(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert repairs(QUERIES["op11_conversation_repair"](spark, SF_DIR)) == {c: brute.repaired(t) for c, t in plain_damage(rows).items()}
+
+
+def test_op11_on_odd_rows(spark, tmp_path):
+    rows = odd_turns(150)
+    spark.createDataFrame(rows, TURNS).write.parquet(str(tmp_path / "conversations.parquet"))
+    assert repairs(QUERIES["op11_conversation_repair"](spark, str(tmp_path))) == {c: brute.repaired(t) for c, t in plain_damage(rows).items()}
