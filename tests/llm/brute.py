@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import zlib
 from collections import Counter, defaultdict
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -112,3 +113,43 @@ def repaired(rows: list[tuple]) -> tuple:
         audit,
         hashlib.sha256("\n".join(f"{r}:{x}" for r, x in turns).encode()).hexdigest(),
     )
+
+
+def _print(*parts: str) -> str:
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def field_print(*fields) -> str:
+    return _print(*("-" if f is None else f"{len(str(f).encode())}:{f}" for f in fields))
+
+
+def tree(nodes: list[str]) -> tuple[str, list[list[tuple]]]:
+    """The root over nodes, and for each node its siblings upwards as (on the left, print), None where there is none."""
+    proofs, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for proof, k in zip(proofs, at):
+            proof.append((k % 2 == 1, nodes[k ^ 1]) if k ^ 1 < len(nodes) else None)
+        nodes, at = [_print(*nodes[k : k + 2]) for k in range(0, len(nodes), 2)], [k // 2 for k in at]
+    return nodes[0], proofs
+
+
+def manifest(rows: list[tuple]) -> list[tuple]:
+    """Contract rows of (doc_id, source, lang, n_chars, text) rows."""
+    groups, out = defaultdict(list), []
+    for row in rows:
+        groups[row[2]].append((row[0] is not None, row[0] or 0, field_print(*row), row))
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: (tree([n for _, _, n, _ in sorted(groups[g], key=lambda x: x[:3])]), sorted(groups[g], key=lambda x: x[:3])) for g in names}
+    root, above = tree([trees[g][0][0] for g in names])
+    for g, last in zip(names, above):
+        (top, proofs), members = trees[g]
+        for proof, (_, _, leaf, row) in zip(proofs, members):
+            doc_id, source, lang, n_chars, text = row
+            node = leaf
+            if doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 0 and n_chars is not None:
+                node = field_print(doc_id, source, lang, n_chars + 1, text)
+            for step in proof + last:
+                node = _print(node) if step is None else _print(step[1], node) if step[0] else _print(node, step[1])
+            siblings = _print(*(s[1] for s in proof + last if s))
+            out.append((doc_id, leaf, top, root, siblings, node, node == root))
+    return out

@@ -3,14 +3,14 @@
 import os
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import brute
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cleargrain.llm import repair
+from cleargrain.llm import merkle, repair
 from cleargrain.llm.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -92,3 +92,42 @@ def test_op11_on_odd_rows(spark, tmp_path):
     rows = odd_turns(150)
     spark.createDataFrame(rows, TURNS).write.parquet(str(tmp_path / "conversations.parquet"))
     assert repairs(QUERIES["op11_conversation_repair"](spark, str(tmp_path))) == {c: brute.repaired(t) for c, t in plain_damage(rows).items()}
+
+
+# 12
+
+MERKLE = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+
+
+def test_op12(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select(*merkle.FIELDS).collect()]
+    got = QUERIES["op12_merkle_manifest"](spark, SF_DIR)
+    assert got.columns == MERKLE
+    want = brute.manifest(rows)
+    assert Counter(map(tuple, got.collect())) == Counter(want) and 0 < sum(not w[-1] for w in want) < len(want) / 4
+
+
+def test_op12_on_odd_rows(spark, odd, no_rows, tmp_path, monkeypatch):
+    more = odd.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, 7).otherwise(F.col("doc_id")))
+    rows = odd.unionByName(more).unionByName(more).withColumn("n_chars", F.when(F.col("doc_id") != 5, F.col("n_chars")))
+    rows.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    no_rows.write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    want = Counter(brute.manifest([tuple(r) for r in rows.select(*merkle.FIELDS).collect()]))
+    assert Counter(map(tuple, QUERIES["op12_merkle_manifest"](spark, str(tmp_path / "a")).collect())) == want
+    assert QUERIES["op12_merkle_manifest"](spark, str(tmp_path / "b")).count() == 0
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_trees_of_every_size_in_windows_of_few(spark, levels):
+    """Groups of 1 to 19 rows, so that their trees need several tables of windows."""
+    rows = [(10 * n + k if n < 19 else None, "s", f"g{n:02d}" if n else None, k, "t") for n in range(20) for k in range(max(n, 1))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").repartition(7)
+    got = merkle.manifest(df, merkle.leaf(*[F.col(c) for c in merkle.FIELDS]), F.col("lang"), ["doc_id"], levels=levels)
+    got = got.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(F.transform("steps", lambda s: F.substring(s, 2, 64)), ""), 256), merkle.folded(F.col("leaf"), F.col("steps")))
+    want = [(*w[:5], w[3]) for w in brute.manifest(rows)]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def test_leaves_meet_their_proofs_without_an_exchange_of_their_own(spark):
+    text = QUERIES["op12_merkle_manifest"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text and "Arrow" not in text and "CartesianProduct" not in text
