@@ -12,6 +12,7 @@ from .minhash import op7_minhash_near_dedup
 from .mixing import op6_source_mixing
 from .quality import op5_quality_classifier
 from .repair import op11_conversation_repair
+from .secrets import op13_secret_scan
 from .suffix_index import op1_suffix_array_dedup
 from .toxicity import op8_toxicity
 
@@ -30,6 +31,7 @@ QUERIES = {
         op10_byte_bpe,
         op11_conversation_repair,
         op12_merkle_manifest,
+        op13_secret_scan,
     )
 }
 ORACLES = {"op2_chat_perspectives": OP2_SQL, "op3_exact_top_k": OP3_SQL}

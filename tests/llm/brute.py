@@ -153,3 +153,51 @@ def manifest(rows: list[tuple]) -> list[tuple]:
             siblings = _print(*(s[1] for s in proof + last if s))
             out.append((doc_id, leaf, top, root, siblings, node, node == root))
     return out
+
+
+SECRET_KINDS = ("assign", "access", "hex", "account", "opaque", "endpoint")
+
+
+def secret_spans(text: str | None, reach: int) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """Base spans, all reported ones, and (identifier, nearest secret, nearest endpoint), as (start, kind, end)."""
+    text = text or ""
+    flags = re.A | re.I
+    given = "[\"']?\\x20*[:=]\\x20*[\"']?"
+    value = "([A-Za-z0-9+/_.=-]+)"
+    base = [(m.start(), 0, m.end()) for m in re.finditer(f"(password|passwd|secret|token|api_?key){given}{value}", text, flags) if len(m[2]) >= 8]
+    base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    weak = [(m.start(), 3, m.end()) for m in re.finditer(f"(user(?:name)?|login|account|client_?id){given}([A-Za-z0-9@._+-]+)", text, flags) if len(m[2]) >= 3]
+    weak += [
+        (m.start(), 4, m.end())
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text)
+        if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0])
+    ]
+    weak += [(m.start(), 5, m.end()) for m in re.finditer("[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\\s\"'<>]+", text)]
+    weak = [w for w in weak if not any(w[0] < b[2] and b[0] < w[2] for b in base)]
+    paragraph, lines = [], text.split("\n")
+    number = 0
+    for k, line in enumerate(lines):
+        if k and not line.strip(" \t\r") and k < len(lines) - 1:
+            number += 1
+        paragraph += [number] * (len(line) + 1)
+
+    def inside(part: tuple, who: tuple) -> bool:
+        return who[0] - reach <= part[0] < who[2] + reach and paragraph[part[0]] == paragraph[who[0]]
+
+    parts = base + weak
+    who = [p for p in parts if p[1] in (1, 3)]
+    secrets, places = [p for p in parts if p[1] in (0, 2, 4)], [p for p in parts if p[1] == 5]
+    keep, links = set(base), []
+    for i in who:
+        mine = [s for s in secrets if inside(s, i)]
+        if not mine:
+            continue
+        ends = [e for e in places if inside(e, i)]
+        keep |= {i, *ends, *(s for s in mine if s[1] == 4)}
+
+        def near(found: list[tuple]) -> tuple | None:
+            return min(found, key=lambda p: (max(p[0] - i[2], i[0] - p[2]), p), default=None)
+
+        links.append((i, near(mine), near(ends)))
+    return sorted(base), sorted(keep), links
