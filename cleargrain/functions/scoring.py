@@ -8,11 +8,9 @@ the longer string taking over when the lengths differ by half or more.
 from __future__ import annotations
 
 import sys
-from decimal import ROUND_HALF_EVEN, Decimal
+from functools import lru_cache
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,15 +75,22 @@ def _best_stretch(short: str, long: str) -> float:
     return best
 
 
+@lru_cache(maxsize=1 << 14)
+def _words(name: str) -> tuple[list[str], frozenset[str]]:
+    """Sorted words of a name, which is compared with many others."""
+    words = sorted(name.split())
+    return words, frozenset(words)
+
+
 def weighted_ratio(a: str, b: str) -> float:
     """Similarity from 0 to 100."""
     if not a or not b:
         return 0.0
-    words_a, words_b = sorted(a.split()), sorted(b.split())
+    (words_a, set_a), (words_b, set_b) = _words(a), _words(b)
     if not words_a or not words_b:
         return 0.0
-    shared = set(words_a) & set(words_b)
-    only_a, only_b = sorted(set(words_a) - shared), sorted(set(words_b) - shared)
+    shared = set_a & set_b
+    only_a, only_b = sorted(set_a - shared), sorted(set_b - shared)
     lengths = max(len(a), len(b)) / min(len(a), len(b))
     best = ratio(a, b)
 
@@ -148,24 +153,35 @@ def word_key(normalized: Column) -> Column:
     return F.when(F.size(F.array_distinct(words)) == F.size(words), key)
 
 
-def may_reach(left: Column, right: Column, left_key: Column, right_key: Column, floor: float) -> Column:
+def unshared(left: Column, right: Column) -> dict[str, Column]:
+    """What :func:`may_reach` needs of two names: the words only one has, sorted, and the length of those both have."""
+    a, b = F.split(left, " "), F.split(right, " ")
+    return {
+        "only_left_": F.array_join(F.array_sort(F.array_except(a, b)), " "),
+        "only_right_": F.array_join(F.array_sort(F.array_except(b, a)), " "),
+        "common_": F.char_length(F.array_join(F.array_intersect(a, b), " ")),
+    }
+
+
+def may_reach(left: Column, right: Column, left_key: Column, right_key: Column, floor: float, parts: dict[str, Column] | None = None) -> Column:
     """False only for pairs whose weighted ratio is certainly below ``floor``.
 
     Edit distance never exceeds indel distance, so an edit distance above the indel budget of
     ``floor`` rules a ratio out: of the names, of their sorted words, and of the words they do not
     share, which together with the lengths of the shared ones bound the ratio of word sets. Pairs
-    that differ much in length or repeat words have other ways to score and always pass.
+    that differ much in length or repeat words have other ways to score and always pass. ``parts`` are
+    the columns of :func:`unshared`, if there are such columns already.
     """
     long = F.greatest(F.char_length(left), F.char_length(right))
     short = F.least(F.char_length(left), F.char_length(right))
 
     def within(a: Column, b: Column, wanted: float) -> Column:
-        budget = (1 - wanted / 100) * (F.char_length(a) + F.char_length(b)) + 1e-6
-        return F.levenshtein(a, b) <= budget
+        # An indel distance is odd or even as the sum of the lengths is.
+        total = F.char_length(a) + F.char_length(b)
+        budget = F.floor((1 - wanted / 100) * total + 1e-6)
+        return F.levenshtein(a, b) <= budget - F.pmod(budget + total, F.lit(2))
 
-    words_a, words_b = F.split(left, " "), F.split(right, " ")
-    rest_a, rest_b = (F.array_join(F.array_sort(F.array_except(x, y)), " ") for x, y in ((words_a, words_b), (words_b, words_a)))
-    common = F.char_length(F.array_join(F.array_intersect(words_a, words_b), " "))
+    rest_a, rest_b, common = (parts or unshared(left, right)).values()
     whole_a, whole_b = (common + F.least(F.char_length(rest), F.lit(1)) + F.char_length(rest) for rest in (rest_a, rest_b))
     wanted = floor / WORD_WEIGHT
     sets = (common > 0) & (
@@ -174,111 +190,10 @@ def may_reach(left: Column, right: Column, left_key: Column, right_key: Column,
         | (F.levenshtein(rest_a, rest_b) <= (1 - wanted / 100) * (whole_a + whole_b) + 1e-6)
         | (200 * common >= (wanted - 1e-6) * (common + F.least(whole_a, whole_b)))
     )
+    # The cheapest tests come first.
     return (
-        sets
-        | (long >= short * PART_FROM)
+        (long >= short * PART_FROM)
         | within(left, right, floor)
+        | sets
         | F.coalesce(within(left_key, right_key, floor / WORD_WEIGHT), F.lit(True))
     )
-
-
-def score_bounds(left: list[str], right: list[str]) -> np.ndarray:
-    """Upper bounds of the weighted ratio of every left with every right name.
-
-    An indel distance is never below the difference of the letter counts, which bounds the ratios of
-    plain strings, of sorted words and of what two names do not share; the lengths of shared words
-    give the other word ratios. Names with repeated words or of very different length get 100.
-    """
-    letters = {c: k for k, c in enumerate(sorted({c for n in left + right for c in n}))}
-    words = {w: k for k, w in enumerate(sorted({w for n in left + right for w in n.split()}))}
-
-    def described(names: list[str]) -> tuple[np.ndarray, ...]:
-        counts = np.zeros((len(names), len(letters)), np.int16)
-        has = np.zeros((len(names), len(words)), np.float32)
-        odd = np.zeros(len(names), bool)
-        for k, name in enumerate(names):
-            for c in name:
-                counts[k, letters[c]] += 1
-            own = name.split()
-            has[k, [words[w] for w in own]] = 1
-            odd[k] = len(set(own)) < len(own) or " ".join(own) != name
-        return counts, has, np.array([len(n) for n in names], np.float64), odd
-
-    (ca, ha, la, oa), (cb, hb, lb, ob) = described(left), described(right)
-    apart = np.zeros((len(left), len(right)))
-    for k in range(len(letters)):
-        apart += np.abs(ca[:, k, None] - cb[None, :, k])
-    total = la[:, None] + lb[None, :]
-    size = np.array([len(w) for w in words], np.float32)
-    shared = (ha @ hb.T).astype(np.float64)
-    common = ((ha * size) @ hb.T) + np.maximum(shared - 1, 0)
-    plain = 100 * (1 - apart / total)
-    loose = 100 * (1 - np.maximum(apart - 2, 0) / total)
-    inside = 100 * np.maximum(2 * common / (common + la[:, None]), 2 * common / (common + lb[None, :]))
-    inside = np.where((shared == ha.sum(axis=1)[:, None]) | (shared == hb.sum(axis=1)[None, :]), 100, inside)
-    bound = np.maximum(plain, WORD_WEIGHT * np.maximum(loose, np.where(shared > 0, inside, 0)))
-    far = np.maximum(la[:, None], lb[None, :]) >= PART_FROM * np.minimum(la[:, None], lb[None, :])
-    return np.where(far | oa[:, None] | ob[None, :], 100.0, bound) + 1e-6
-
-
-def _hundredths(score: float) -> float:
-    return float(Decimal(repr(score)).quantize(Decimal("0.01"), ROUND_HALF_EVEN))
-
-
-SCORED = (
-    "left_normalized_value string, left_original_value string, left_frequency long, "
-    "right_normalized_value string, right_original_value string, right_frequency long, score double"
-)
-
-
-def strongest_in_tile(i: int, j: int, place: int, rows: list[dict], floor: float) -> list[tuple]:
-    """The best match of each name of a tile with a preferred name of it, if it reaches the floor.
-
-    A tile holds parts ``i`` and ``j`` of a block of the kind ``place``. Pairs that share a block of an
-    earlier kind are judged there. Names are compared in order of their bound, so most pairs of a
-    variant that has a close match are never scored.
-    """
-    def weight(r: dict) -> tuple:
-        return r["frequency"], len(r["original_value"]), r["original_value"]
-
-    first, second = ([r for r in rows if r["tile"] == t] for t in (i, j))
-    if not first or not second:
-        return []
-    bounds = score_bounds([r["normalized_value"] for r in first], [r["normalized_value"] for r in second])
-    for earlier in range(place):
-        numbers: dict[str, int] = {}
-        a, b = (np.array([numbers.setdefault(r["keys"][earlier], len(numbers)) for r in side]) for side in (first, second))
-        bounds[a[:, None] == b[None, :]] = -1
-    found = []
-    for variants, names, limits in ((first, second, bounds),) if i == j else ((first, second, bounds), (second, first, bounds.T)):
-        for r, own in zip(variants, limits, strict=True):
-            best, mine = None, weight(r)
-            for k in np.argsort(-own, kind="stable").tolist():
-                if own[k] < floor or (best and own[k] + 0.01 < best[0]):
-                    break
-                other = names[k]
-                if weight(other) <= mine or other["normalized_value"] == r["normalized_value"]:
-                    continue
-                a, b = sorted((r["normalized_value"], other["normalized_value"]))
-                score = weighted_ratio(a, b)
-                if score < floor:
-                    continue
-                rank = (_hundredths(score), other["frequency"])
-                if best is None or rank > best[:2] or (rank == best[:2] and other["original_value"] < best[2]["original_value"]):
-                    best = (*rank, other, score)
-            if best:
-                sides = sorted((r, best[2]), key=lambda x: x["normalized_value"])
-                found.append(tuple(x[c] for x in sides for c in ("normalized_value", "original_value", "frequency")) + (best[3],))
-    return found
-
-
-def strongest_in_tiles(tiles, floor: float):
-    """Rows ``block, i, j, place, tile, keys`` and a name, grouped by tile, to its scored pairs."""
-
-    def judge(key: tuple, table: pa.Table) -> pa.Table:
-        found = strongest_in_tile(key[1].as_py(), key[2].as_py(), table.column("place")[0].as_py(), table.to_pylist(), floor)
-        names = [part.split()[0] for part in SCORED.split(", ")]
-        kinds = [pa.string(), pa.string(), pa.int64()] * 2 + [pa.float64()]
-        return pa.table({n: pa.array([f[k] for f in found], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
-
-    return tiles.groupBy("block", "i", "j").applyInArrow(judge, SCORED)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scoring import edit_similarity, may_reach, similarity, strongest_in_tiles, word_key
 from ..functions.text import normalize, quoted, strip
 from ..functions.values import ScoreBands, score_status
+from .closeness import best_pairs, close_pairs
 from .roles import DEFAULT_ROLES, Roles, require_primary_organization
 
 # Labels of the two ways to match, and the shape of the blocking keys.
@@ -36,8 +38,6 @@ MATCH_SCHEMA = T.StructType(
 )
 VARIANT_SCHEMA = T.StructType([T.StructField("source_column", T.StringType()), *MATCH_SCHEMA.fields])
 
-_METRICS = {"weighted": similarity, "edit": edit_similarity}
-
 
 def value_counts(table: DataFrame, column: str | Column, normalized: str | Column | None = None) -> DataFrame:
     """Rows per distinct trimmed value, with its normalised form.
@@ -148,80 +148,32 @@ def _other_parts() -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
 
 
-def _paired(members: DataFrame) -> DataFrame:
-    """Pairs of names that share a block, each produced in exactly one block.
+def candidate_pairs(members: DataFrame) -> DataFrame:
+    """Distinct unordered pairs of normalised names that share a block: all of them, by definition.
 
     A pair counts only in the first of its names' keys that it shares: no pair has to be exchanged
     to find that it was already seen. Both sides of a large block are dealt into parts, and each two
-    parts meet in a group of their own.
+    parts meet in a group of their own. Matches are found without this list.
     """
-    named = _with_parts(members).select(
-        "block",
-        "parts",
-        "part",
-        "normalized_value",
-        "original_value",
-        "frequency",
-        word_key(F.col("normalized_value")).alias("word_key"),
-        F.array_sort(block_keys(F.col("normalized_value"))).alias("blocks"),
-    )
+    named = _with_parts(members).select("block", "part", "parts", "normalized_value", F.array_sort(block_keys(F.col("normalized_value"))).alias("blocks"))
     left = named.select("*", F.col("part").alias("i"), _other_parts().alias("j")).alias("l")
     right = named.select("*", F.col("part").alias("j"), _other_parts().alias("i")).alias("r")
+    met = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("block", "i", "j")]
     first_shared = F.array_min(F.array_intersect("l.blocks", "r.blocks"))
-    return left.join(
-        right,
-        (F.col("l.block") == F.col("r.block"))
-        & (F.col("l.i") == F.col("r.i"))
-        & (F.col("l.j") == F.col("r.j"))
-        & (F.col("l.normalized_value") < F.col("r.normalized_value"))
-        & (F.col("l.block") == first_shared),
-    )
-
-
-def strongest_pairs(members: DataFrame, min_similarity: float = 80.0) -> DataFrame:
-    """For each name its best pair with a preferred name, per two parts of a block.
-
-    Every pair of a block is considered, in tasks that hold two parts: bounds computed for all pairs
-    of a tile leave few to score, and at most one pair per name and tile is returned, however many
-    reach the minimum.
-    """
-    keys = block_keys(F.col("normalized_value"))
-    dealt = _with_parts(members.withColumn("keys", keys)).withColumn("place", F.array_position("keys", F.col("block")).cast("int") - 1)
-    tiles = dealt.select("*", _other_parts().alias("other")).select(
-        "block",
-        F.least("part", "other").alias("i"),
-        F.greatest("part", "other").alias("j"),
-        "place",
-        F.col("part").alias("tile"),
-        "keys",
-        "normalized_value",
-        "original_value",
-        "frequency",
+    ordered = F.col("l.normalized_value") < F.col("r.normalized_value")
+    return left.join(right, reduce(lambda a, b: a & b, met) & ordered & (F.col("l.block") == first_shared)).select(
+        F.col("l.normalized_value").alias("left_value"), F.col("r.normalized_value").alias("right_value")
     )
-    return strongest_in_tiles(tiles, min_similarity)
 
 
-def candidate_pairs(members: DataFrame) -> DataFrame:
-    """Distinct unordered pairs of normalised names that share a block."""
-    return _paired(members).select(
-        F.col("l.normalized_value").alias("left_value"), F.col("r.normalized_value").alias("right_value")
-    )
+def scored_pairs(names: DataFrame, min_similarity: float = 80.0, metric: str = "weighted") -> DataFrame:
+    """Pairs of representatives of a block at or above the minimum similarity, with both names' spelling and count."""
+    return close_pairs(names, block_keys, min_similarity, metric)
 
 
-def scored_pairs(members: DataFrame, min_similarity: float = 80.0, metric: str = "weighted") -> DataFrame:
-    """Pairs at or above the minimum similarity, with both names' spelling and count."""
-    left, right = F.col("l.normalized_value"), F.col("r.normalized_value")
-    pairs = _paired(members)
-    if metric == "weighted":
-        pairs = pairs.filter(may_reach(left, right, F.col("l.word_key"), F.col("r.word_key"), min_similarity))
-    return pairs.select(
-        *[
-            F.col(f"{side}.{name}").alias(f"{label}_{name}")
-            for side, label in (("l", "left"), ("r", "right"))
-            for name in ("normalized_value", "original_value", "frequency")
-        ],
-        _METRICS[metric](left, right).alias("score"),
-    ).filter(F.col("score") >= min_similarity)
+def strongest_pairs(names: DataFrame, min_similarity: float = 80.0) -> DataFrame:
+    """For each representative its best pair with a preferred name of a block."""
+    return best_pairs(names, block_keys, _weight, min_similarity)
 
 
 def directed_matches(scored: DataFrame, bands: ScoreBands = ScoreBands()) -> DataFrame:
@@ -253,7 +205,7 @@ def fuzzy_matches(
 ) -> DataFrame:
     """Close spellings found within blocks: all of them, as pairs from variant to preferred name."""
     floor = bands.review if min_similarity is None else min_similarity
-    return directed_matches(scored_pairs(block_members(representatives(counts)), floor, metric), bands)
+    return directed_matches(scored_pairs(representatives(counts), floor, metric), bands)
 
 
 def strongest_fuzzy_matches(
@@ -263,7 +215,7 @@ def strongest_fuzzy_matches(
     floor = bands.review if min_similarity is None else min_similarity
     if metric != "weighted":
         return strongest_matches(fuzzy_matches(counts, bands, min_similarity=floor, metric=metric))
-    return strongest_matches(directed_matches(strongest_pairs(block_members(representatives(counts)), floor), bands))
+    return strongest_matches(directed_matches(strongest_pairs(representatives(counts), floor), bands))
 
 
 def strongest_matches(matches: DataFrame) -> DataFrame:

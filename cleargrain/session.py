@@ -21,6 +21,8 @@ def configure(builder: SparkSession.Builder, *, shuffle_partitions: int | None =
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Split a hot key even where that costs one more exchange downstream.
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        # Small exchanges hold costly rows (names to be compared, cells to be told apart): keep all cores at work.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         # Stored intermediates go when nothing refers to them any more.
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")

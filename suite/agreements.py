@@ -14,9 +14,10 @@ COPY_OFFSET = 1_000_000_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
-    """A given table. With a key, its rows are spread over the tasks, however the files lie."""
+    """A given table. With a key, rows of a table that comes in fewer splits than there are cores are dealt to all of them."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return rows.repartition(key) if key else rows
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if key and rows.rdd.getNumPartitions() < cores else rows
 
 
 def agreements(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,8 +69,12 @@ def _counts(df: DataFrame, column: str = ORG) -> DataFrame:
     return variants.value_counts(df, column)
 
 
-def _members(df: DataFrame, column: str = ORG) -> DataFrame:
-    return variants.block_members(variants.representatives(_counts(df, column)))
+def _names(df: DataFrame, column: str = ORG) -> DataFrame:
+    return variants.representatives(_counts(df, column))
+
+
+def _members(df: DataFrame) -> DataFrame:
+    return variants.block_members(_names(df))
 
 
 def _mapping(df: DataFrame) -> DataFrame:
@@ -236,7 +240,7 @@ def _(df):
 @on_agreements("p9_score_status")
 def _(df):
     """Bands of the score of every pair of names in a block that reaches the minimum."""
-    return variants.scored_pairs(_members(df)).select("left_normalized_value", "right_normalized_value", values.score_status(F.col("score")).alias("status"))
+    return variants.scored_pairs(_names(df)).select("left_normalized_value", "right_normalized_value", values.score_status(F.col("score")).alias("status"))
 
 
 @on_agreements("p10_duplicate_columns")
@@ -446,12 +450,12 @@ def _(df):
 
 @on_agreements("v8_scored_pairs")
 def _(df):
-    return variants.scored_pairs(_members(df)).select("left_normalized_value", "right_normalized_value", F.bround("score", 2).alias("score"))
+    return variants.scored_pairs(_names(df)).select("left_normalized_value", "right_normalized_value", F.bround("score", 2).alias("score"))
 
 
 @on_agreements("v8_scored_pairs_edit")
 def _(df):
-    return variants.scored_pairs(_members(df), metric="edit").select("left_normalized_value", "right_normalized_value", F.bround("score", 2).alias("score"))
+    return variants.scored_pairs(_names(df), metric="edit").select("left_normalized_value", "right_normalized_value", F.bround("score", 2).alias("score"))
 
 
 @on_agreements("v9_directed_matches")
