@@ -1,12 +1,12 @@
-"""Removal of long repeated byte strings, found with a logarithmic family of sparse suffix arrays.
+"""Removal of long repeated byte strings, found with a logarithmic family of sparse indexes of suffixes.
 
 Every window of ``length`` bytes belongs to the first smallest fingerprint among its substrings of
 ``length // 3`` bytes, its *key*. The key depends on the window alone, so equal windows have equal
 keys wherever they stand, and runs of neighbouring windows share one. A suffix array over the
 starts of these runs is therefore enough to find every repeated window: it has about one entry per
-140 bytes. Its entries are ordered by the fingerprint of the key string, which brings equal strings
-together just as the order of the strings would, and each also holds the fingerprint of all bytes
-of its run.
+140 bytes. Its entries are ordered by the fingerprint of the key string instead of the string, which brings
+equal strings together just as the order of the strings would, and each also holds the fingerprint
+of all bytes of its run. Strings count as equal if 128 bits of fingerprints agree.
 
 Texts arrive in batches. A batch's array is merge-scanned against each level of the family; the
 keys found on both sides are the long matches. It then becomes level 0, and two levels of equal
@@ -39,13 +39,15 @@ from .texts import BLOCK_BYTES, Rolling, blocks, documents, small_batches, text_
 
 LENGTH = 400
 BATCHES = 4
+# Of two least fingerprints that agree in all bits but these, a place in a block, the leftmost counts.
+PLACE_BITS = 20
 # Runs with one key that a task compares at once; keys with more are compared window by window.
 TOGETHER = 4_096
 
-_RUNS = "key long, fp long, doc_id long, h int, start int, n int"
-_UNSURE = "key long, fp long, copies int, kinds long, doc_id long, h int, start int, bytes binary"
-_WINDOWS = "key long, window long, copies int, doc_id long, h int, start int"
-_SPANS = "doc_id long, h int, start int, stop int"
+_RUNS = "key long, fp long, doc_id long, h binary, start int, n int"
+_UNSURE = "key long, fp long, copies int, kinds long, doc_id long, h binary, start int, bytes binary"
+_WINDOWS = "key long, window long, copies int, doc_id long, h binary, start int"
+_SPANS = "doc_id long, h binary, start int, stop int"
 _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
@@ -74,7 +76,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarra
     parts = rolling.windows(part)
     # Of equal parts the leftmost counts, so a run never holds a window twice.
     places = np.arange(len(parts), dtype=np.uint64)
-    low = np.uint64((1 << int(len(parts)).bit_length()) - 1)
+    low = np.uint64((1 << PLACE_BITS) - 1)
     chosen = _least((parts & ~low) | places, length - part + 1) & low
     row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(chosen)]
     whole = np.arange(len(chosen)) + length <= offsets[1:][row_of]
@@ -96,8 +98,7 @@ def suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("h",)]
-            doc_id = batch.column("doc_id")
+            doc_id, h = batch.column("doc_id"), batch.column("h")
             for a, b in blocks(offsets):
                 low, high = offsets[a], offsets[b]
                 step = high - low if b - a > 1 else BLOCK_BYTES
@@ -113,7 +114,7 @@ def suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                             _signed(key),
                             _signed(prints),
                             doc_id.take(pa.array(row + a)),
-                            pa.array(ids[0][row + a]),
+                            h.take(pa.array(row + a)),
                             pa.array((start + shift).astype(np.int32)),
                             pa.array(n.astype(np.int32)),
                         ],
@@ -151,7 +152,7 @@ class SuffixIndexFamily:
     def add(self, entries: DataFrame) -> DataFrame:
         """Take in a batch; returns the keys of its long matches, inside it or with a level."""
         path, array = self._store(
-            entries.withColumn("pick", F.hash("doc_id", "h", "start"))
+            entries.withColumn("pick", F.xxhash64("doc_id", "h", "start"))
             .groupBy("key", "fp")
             .agg(F.count(F.lit(1)).cast("int").alias("copies"), F.min("pick").alias("pick"))
         )
@@ -330,16 +331,18 @@ def remove_repeats(
     Takes ``doc_id`` and ``text``, passes the columns named in ``carry`` on, and returns ``doc_id,
     n_bytes, n_removed, n_spans, kept_sha256`` and ``text``: null or, with ``keep_text``, what is left, but
     for bytes that a cut has left of a character.
-    Rows are told apart by id and hash of the text. ``batches`` is the number of additions to the
+    Rows are told apart by id and 128 bits of the text. ``batches`` is the number of additions to the
     index; the result does not depend on it.
     """
     spark = docs.sparkSession
     small_batches(spark)
     folder = scratch_path(spark, "suffixes")
     text = F.coalesce("text", F.lit("")).alias("text")
-    plain = docs.select("doc_id", F.hash("text").alias("h"), text)
+    # With its id, 128 bits of a text tell a row from every other: ids can be null or repeat.
+    identity = F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("h")
+    plain = docs.select("doc_id", identity, text)
     # Both joins below take whole rows, so that they share one exchange of the texts.
-    docs = docs.select("doc_id", F.hash("text").alias("h"), F.struct(text, *carry).alias("row"))
+    docs = docs.select("doc_id", identity, F.struct(text, *carry).alias("row"))
     batch = F.pmod(F.xxhash64("doc_id", "h"), F.lit(batches)).cast("int").alias("batch")
     suffixes(plain, length).select("*", batch).write.partitionBy("batch").parquet(f"{folder}/entries")
     occurrences = spark.read.schema(f"{_RUNS}, batch int").parquet(f"{folder}/entries")
@@ -358,7 +361,7 @@ def remove_repeats(
         "doc_id", "h", "start", (F.col("start") + F.col("n") + (length - 1)).alias("stop")
     )
     # One run stands for its copies.
-    stands = (F.col("copies") == 1) | (F.hash("doc_id", "h", "start") == F.col("pick"))
+    stands = (F.col("copies") == 1) | (F.xxhash64("doc_id", "h", "start") == F.col("pick"))
     listed = repeated.filter((F.col("kinds") > 1) & stands)
     unsure = listed.groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "fp", "copies", "kinds", "start", "n")).alias("runs"))
     here = [docs.doc_id.eqNullSafe(unsure.doc_id), docs.h == unsure.h]

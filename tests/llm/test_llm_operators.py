@@ -48,6 +48,18 @@ def test_repeats_window_by_window(odd, monkeypatch):
     assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == want
 
 
+def test_rows_without_ids_are_told_apart(spark):
+    """Texts whose 32-bit hashes agree; one of them repeats nothing, the other is a copy's."""
+    words = spark.range(150_000).select(F.concat(F.lit("x"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 1), F.sha2((-F.col("id")).cast("string"), 512)).alias("text"))
+    twins = words.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("t")).filter("size(t) > 1").orderBy("h").first()
+    assert twins
+    texts = [twins.t[0], twins.t[1], twins.t[1][:-1] + "!", None, ""]
+    for ids in ([None] * 5, [7] * 5):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        got = suffix_index.remove_repeats(docs, 60).collect()
+        assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(brute.repeats(texts, 60))
+
+
 def test_op1(spark):
     texts = given(spark)
     want = dict(zip(texts, brute.repeats(list(texts.values()), 400), strict=True))
