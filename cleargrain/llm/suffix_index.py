@@ -339,7 +339,8 @@ def remove_repeats(
     folder = scratch_path(spark, "suffixes")
     text = F.coalesce("text", F.lit("")).alias("text")
     # With its id, 128 bits of a text tell a row from every other: ids can be null or repeat.
-    identity = F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("h")
+    # Never null, or the joins below would filter nulls and no longer share an exchange.
+    identity = F.coalesce(F.unhex(F.md5(F.coalesce("text", F.lit("")))), F.lit(b"")).alias("h")
     plain = docs.select("doc_id", identity, text)
     # Both joins below take whole rows, so that they share one exchange of the texts.
     docs = docs.select("doc_id", identity, F.struct(text, *carry).alias("row"))
