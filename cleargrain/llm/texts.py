@@ -156,9 +156,19 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarra
 
 
 def bounded_sample(rows: DataFrame, most: int, seed: str) -> DataFrame:
-    """About ``most`` of the rows, or all if there are fewer, chosen by a hash of ``doc_id``."""
-    total = rows.count()
-    if total <= most:
-        return rows
+    """``most`` of the distinct rows of ``doc_id, text``, or all if there are fewer: those with the least hashes of both.
+
+    Ids can be null or repeat. Equal rows are one, so copies do not crowd others out. The bound holds
+    exactly but for rows with one 64-bit hash; only hashes are sorted.
+    """
+    # A hash of its own for each row, however many share the id.
+    chance = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    distinct = rows.agg(F.approx_count_distinct(chance, 0.02).alias("n")).first()["n"]
+    # Well more than are wanted; the estimate is a few hundredths off at most.
     scale = 1 << 40
-    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(scale)) < int(scale * most / total))
+    likely = rows.filter(F.pmod(chance, F.lit(scale)) < int(scale * min(1.0, 1.5 * (most + 100) / max(distinct, 1))))
+    once = ["doc_id", "text"]
+    if distinct <= most // 2:
+        return likely.dropDuplicates(once)
+    last = likely.select(chance.alias("chance")).distinct().orderBy("chance").limit(most).agg(F.max("chance")).first()[0]
+    return likely.filter(chance <= last).dropDuplicates(once) if last is not None else likely

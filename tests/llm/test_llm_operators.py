@@ -408,6 +408,29 @@ def test_groups_with_null_and_repeated_ids(spark):
         assert [(r.doc_id is not None, r.doc_id or 0) for r in got if (r.text or "").startswith(text)] == [least]
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "own"])
+def test_samples_are_bounded_whatever_the_ids(spark, ids):
+    from cleargrain.llm.texts import bounded_sample
+
+    doc_id = {"null": F.lit(None).cast("long"), "one": F.lit(7).cast("long"), "own": F.col("id")}[ids]
+    rows = spark.range(30_000).select(doc_id.alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    copies = rows.unionByName(spark.range(15_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("copy").alias("text")))
+    assert bounded_sample(rows, 5_000, "any").count() == 5_000
+    got = bounded_sample(copies, 5_000, "any")
+    assert got.count() == 5_000 and got.filter("text = 'copy'").count() <= 1
+    assert bounded_sample(copies, 50_000, "any").count() == 30_001
+    assert bounded_sample(copies.filter("text = 'copy'"), 5_000, "any").count() == 1
+
+
+def test_quality_with_null_ids_is_learned(spark):
+    """All ids null, as many rows as make a sample: scores still differ."""
+    docs = spark.read.parquet(f"{LEARN_DIR}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{LEARN_DIR}/labels.parquet").select("doc_id", "quality")
+    model, prior = quality.learn(docs.unionByName(docs.select(F.lit(None).cast("long").alias("doc_id"), "text")), labels, sample=200)
+    scores = [r.score for r in quality.score(docs.limit(200), model).collect()]
+    assert 0 < prior < 1 and max(scores) - min(scores) > 0.5
+
+
 def test_held_out_rule(spark):
     import zlib
 
