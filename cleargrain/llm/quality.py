@@ -13,8 +13,8 @@ threshold. The model then minimises
 which stays unbiased while the second term is positive and cannot go below zero by overfitting.
 
 Results for odd input: null and empty texts get the vector of an empty text, and so one score; with
-no positives or no texts to learn from every score is 0.5; repeated rows count as often as they
-occur; labels without a document are ignored, and of labels that disagree on one document a 1 wins;
+no positives or no texts to learn from every score is 0.5; repeated rows count
+once; labels without a document are ignored, and of labels that disagree on one document a 1 wins;
 an empty table gives an empty result; other columns can be carried along.
 """
 
@@ -165,8 +165,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = STEPS) -> tup
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, float]:
     """Fit on about ``sample`` rows with quality 1 and as many of all rows, labels unseen."""
     small_batches(docs.sparkSession)
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    positive = bounded_sample(docs.join(good, docs.doc_id == good.good_id, "left_semi"), sample, "good")
+    positive = bounded_sample(docs, sample, "good", labels.filter("quality = 1").select("doc_id").distinct())
     unlabelled = bounded_sample(docs, sample, "any")
     both = positive.select(F.lit(True).alias("good"), "text").union(unlabelled.select(F.lit(False).alias("good"), "text"))
     got = _embedded(both).toPandas()

@@ -155,20 +155,22 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarra
     return out
 
 
-def bounded_sample(rows: DataFrame, most: int, seed: str) -> DataFrame:
+def bounded_sample(docs: DataFrame, most: int, seed: str, among: DataFrame | None = None) -> DataFrame:
     """``most`` of the distinct rows of ``doc_id, text``, or all if there are fewer: those with the least hashes of both.
 
+    With ``among``, a table of distinct ``doc_id``, only of rows with one of its ids, with its other columns.
     Ids can be null or repeat. Equal rows are one, so copies do not crowd others out. The bound holds
-    exactly but for rows with one 64-bit hash; only hashes are sorted.
+    exactly but for rows with one 64-bit hash. Only hashes are counted, joined and sorted to find which
+    rows are chosen; texts are looked up when few are left.
     """
     # A hash of its own for each row, however many share the id.
-    chance = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    distinct = rows.agg(F.approx_count_distinct(chance, 0.02).alias("n")).first()["n"]
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("chance_"))
+    narrow = hashed.select("doc_id", "chance_")
+    narrow = narrow.join(among.select("doc_id"), "doc_id") if among is not None else narrow
+    distinct = narrow.agg(F.approx_count_distinct("chance_", 0.02).alias("n")).first()["n"]
     # Well more than are wanted; the estimate is a few hundredths off at most.
     scale = 1 << 40
-    likely = rows.filter(F.pmod(chance, F.lit(scale)) < int(scale * min(1.0, 1.5 * (most + 100) / max(distinct, 1))))
-    once = ["doc_id", "text"]
-    if distinct <= most // 2:
-        return likely.dropDuplicates(once)
-    last = likely.select(chance.alias("chance")).distinct().orderBy("chance").limit(most).agg(F.max("chance")).first()[0]
-    return likely.filter(chance <= last).dropDuplicates(once) if last is not None else likely
+    likely = F.pmod("chance_", F.lit(scale)) < int(scale * min(1.0, 1.5 * (most + 100) / max(distinct, 1)))
+    last = narrow.filter(likely).select("chance_").distinct().orderBy("chance_").limit(most).agg(F.max("chance_")).first()[0]
+    chosen = hashed.filter(likely & (F.col("chance_") <= F.lit(last).cast("long"))).drop("chance_").dropDuplicates(["doc_id", "text"])
+    return chosen.join(among, "doc_id") if among is not None else chosen

@@ -11,7 +11,7 @@ a short list of such words, mostly empty, and the model a table of bounded size.
 
 Results for odd input: a text without words, null or empty, has one empty sentence and so the lowest
 score; without toxic or other documents to learn from every score is the share of toxic labels;
-repeated rows count as often as they occur; labels without a document are ignored, and of labels
+repeated rows teach once; labels without a document are ignored, and of labels
 that disagree on one document a 1 wins; an empty table gives an empty result.
 """
 
@@ -187,8 +187,8 @@ def _known_words(bagged: DataFrame, toxic_docs: int, all_docs: int) -> np.ndarra
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on about ``sample`` labelled documents (``doc_id, text``; ``doc_id, toxic``)."""
     small_batches(docs.sparkSession)
-    marks = labels.filter("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg((F.max("toxic") == 1).alias("toxic"))
-    chosen = bounded_sample(docs.join(marks, docs.doc_id == marks.id).select("doc_id", "text", "toxic"), sample, "toxic")
+    marks = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
+    chosen = bounded_sample(docs.select("doc_id", "text"), sample, "toxic", marks)
     bagged = _bag_words(chosen.select("text", "toxic"))
     total, toxic_docs = bagged.agg(F.count(F.lit(1)), F.count_if("toxic")).first()
     if not toxic_docs or toxic_docs == total:
