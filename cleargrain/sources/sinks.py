@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable
 from urllib.parse import urlsplit
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+# Where the old table is while a new one takes its place.
+PREVIOUS = ".previous"
 
 
 def _location(path: str) -> tuple[str, str, tuple[str, ...]]:
@@ -33,16 +37,55 @@ def check_output(path: str, protected: Iterable[str]) -> str:
     return str(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and what makes a path of it."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Put the previous table back where a writer was lost between the two steps of a replacement."""
+    files, make = _files(spark, path)
+    target, previous = make(path), make(f"{path.rstrip('/')}{PREVIOUS}")
+    return not files.exists(target) and files.exists(previous) and files.rename(previous, target)
+
+
 def write_table(table: DataFrame, path: str, *, protected: Iterable[str], fmt: str = "parquet", mode: str = "overwrite") -> str:
     """Write in parallel, replacing what the path held before; never over a protected input.
 
+    The new table is written beside the path and takes its place when it is complete: a failed write
+    leaves the old table as it was, and readers never see a part of the new one. If the driver is lost
+    between the two renames, :func:`recover` (also called by the next write and by readers that miss
+    the table) puts the old one back. A table may so replace one that it is computed from. On object
+    stores a rename copies and is not one step; use a table format there.
+
     Parquet keeps types and values as they are. CSV keeps every character of a cell, white space at
-    its ends and line breaks too.
+    its ends and line breaks too. Modes other than overwrite write to the path itself.
     """
     target = check_output(path, protected)
-    writer = table.write.mode(mode)
+    spark = table.sparkSession
+    writer = table.write
     if fmt == "csv":
         writer = writer.option("header", True).option("encoding", "UTF-8").option("escape", '"')
         writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-    writer.format(fmt).save(target)
+    if mode != "overwrite":
+        writer.mode(mode).format(fmt).save(target)
+        return target
+    recover(spark, target)
+    files, make = _files(spark, target)
+    beside = target.rstrip("/")
+    staged, previous, final = make(f"{beside}.staged-{uuid4().hex}"), make(f"{beside}{PREVIOUS}"), make(target)
+    try:
+        writer.format(fmt).save(staged.toString())
+        files.delete(previous, True)
+        replaced = files.exists(final)
+        if replaced and not files.rename(final, previous):
+            raise OSError(f"cannot move the old table of {target} aside")
+        if not files.rename(staged, final):
+            if replaced:
+                files.rename(previous, final)
+            raise OSError(f"cannot put the new table in place at {target}")
+    finally:
+        files.delete(staged, True)
+    files.delete(previous, True)
     return target

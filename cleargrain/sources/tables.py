@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import quoted
 from ..operators.profile import ROW_ID
+from .sinks import recover
 
 
 def column_name(header: object, position: int) -> str:
@@ -18,15 +19,28 @@ def column_name(header: object, position: int) -> str:
 
 
 def with_row_id(table: DataFrame, key: str | None = None) -> DataFrame:
-    """Number rows in scan order.
+    """Number rows by a key that orders them, which survives any file layout, or as they come.
 
-    Name a key that already orders the rows wherever there is one: it survives any file layout. The
-    fallback numbers rows as the scan meets them, which only holds for one run over one layout.
+    Without a key the number only holds for one run over one layout; readers use :func:`in_file_order`.
     """
     ordinal = quoted(key).cast("bigint") if key else F.monotonically_increasing_id()
     return table.withColumn(ROW_ID, ordinal)
 
 
+def in_file_order(rows: DataFrame, place: Column) -> DataFrame:
+    """Number rows from 0 by file name and by ``place``, a number that rises through each file, however files are split.
+
+    A place is counted from the least one of its file. The rows of each file are counted in a scan
+    that reads no data columns, and summed up over the files before.
+    """
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), place.alias("_place"))
+    files = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_least"))
+    # One row per file.
+    earlier = F.sum("_rows").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_rows")
+    shifts = files.select("_file", (earlier - F.col("_least")).alias("_shift"))
+    return placed.join(shifts, "_file").select(*[quoted(c) for c in rows.columns], (F.col("_place") + F.col("_shift")).alias(ROW_ID))
+
+
 def read_csv(spark: SparkSession, path: str, *, key: str | None = None) -> DataFrame:
     """Delimited text with a header line, as all-string columns.
 
@@ -48,13 +62,20 @@ def read_csv(spark: SparkSession, path: str, *, key: str | None = None) -> DataF
         .schema(schema)
         .csv(path)
     )
-    return with_row_id(rows, key)
+    # A file is read by one task from its first line to its last, so running numbers rise through it.
+    return with_row_id(rows, key) if key else in_file_order(rows, F.monotonically_increasing_id())
 
 
 def read_parquet(spark: SparkSession, path: str, *, key: str | None = None) -> DataFrame:
-    """Typed columns under their trimmed names."""
+    """Typed columns under their trimmed names.
+
+    Without a key rows are numbered by file name and by their number in the file, which does not depend on how files are split.
+    """
     rows = spark.read.parquet(path)
-    return with_row_id(rows.toDF(*[column_name(c, i) for i, c in enumerate(rows.columns, start=1)]), key)
+    names = [column_name(c, i) for i, c in enumerate(rows.columns, start=1)]
+    if key:
+        return with_row_id(rows.toDF(*names), key)
+    return in_file_order(rows, F.col("_metadata.row_index")).toDF(*names, ROW_ID)
 
 
 def read_report(
@@ -69,6 +90,8 @@ def read_report(
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
+        if recover(spark, path):
+            return reader.format(fmt).load(path)
         if required:
             raise FileNotFoundError(f"report not found: {path}; run the step that writes it first") from problem
         return spark.createDataFrame([], schema)

@@ -443,6 +443,7 @@ def over_copies(final: str) -> str:
 
 FINALS: dict[str, str] = {
     "s1_table_source": "SELECT *, o_orderkey AS _row_id FROM orders",
+    "s1_scan_order": "SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS _row_id FROM orders",
     "s2_rank_tables": RANKED,
     "s2_primary_table": f"{RANKED} ORDER BY is_candidate DESC, score DESC, revision DESC, row_count DESC, column_count DESC, position LIMIT 1",
     "s3_bounded_sample": "SELECT * FROM agreements ORDER BY _row_id LIMIT 5000",

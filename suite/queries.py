@@ -97,6 +97,12 @@ def _(spark, sf_dir):
     return tables.read_parquet(spark, f"{sf_dir}/orders.parquet", key="o_orderkey")
 
 
+@query("s1_scan_order")
+def _(spark, sf_dir):
+    """Without a key; the file holds the orders by their key."""
+    return tables.read_parquet(spark, f"{sf_dir}/orders.parquet")
+
+
 @query("s2_rank_tables")
 def _(spark, sf_dir):
     named = {f"{name} rev-{i % 3}": table(spark, sf_dir, name) for i, name in enumerate(GIVEN_TABLES)}

@@ -373,3 +373,39 @@ def test_shared_word_does_not_send_every_pair_to_python(spark):
     passed = pairs.filter(scoring.may_reach(F.col("a"), F.col("b"), scoring.word_key(F.col("a")), scoring.word_key(F.col("b")), 80.0)).collect()
     reach = {p for p in itertools.combinations(names, 2) if scoring.weighted_ratio(*p) >= 80}
     assert reach <= {tuple(r) for r in passed} and len(passed) < 0.6 * pairs.count()
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "cleaned")
+    sinks.write_table(spark.range(1000).repartition(4), path, protected=[])
+    broken = spark.range(2000).repartition(4).select(F.when(F.col("id") == 1500, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_table(broken, path, protected=[])
+    assert spark.read.parquet(path).count() == 1000 and [p.name for p in tmp_path.iterdir()] == ["cleaned"]
+    # A table replaces the one that it comes from.
+    sinks.write_table(spark.read.parquet(path).filter("id < 10"), path, protected=[])
+    assert spark.read.parquet(path).count() == 10
+
+
+def test_a_lost_writer_is_made_good(spark, tmp_path):
+    path = tmp_path / "report"
+    sinks.write_table(spark.range(5), str(path), protected=[])
+    path.rename(f"{path}{sinks.PREVIOUS}")
+    assert tables.read_report(spark, str(path), spark.range(1).schema, fmt="parquet").count() == 5
+    path.rename(f"{path}{sinks.PREVIOUS}")
+    assert sinks.recover(spark, str(path)) and not sinks.recover(spark, str(path)) and spark.read.parquet(str(path)).count() == 5
+    assert not sinks.recover(spark, str(tmp_path / "never"))
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_rows_keep_their_numbers_however_files_are_split(spark, tmp_path, fmt):
+    path = str(tmp_path / "rows")
+    spark.range(4000).select(F.col("id").cast("string").alias("a"), F.repeat(F.lit("x"), 200).alias("b")).repartition(5).write.option("header", True).option("parquet.block.size", 40_000).format(fmt).save(path)
+    read = {"parquet": tables.read_parquet, "csv": tables.read_csv}[fmt]
+    name, numbers = "spark.sql.files.maxPartitionBytes", []
+    before = spark.conf.get(name)
+    for size in ("20k", "64m"):
+        spark.conf.set(name, size)
+        numbers.append({r["a"]: r["_row_id"] for r in read(spark, path).select("a", "_row_id").collect()})
+    spark.conf.set(name, before)
+    assert numbers[0] == numbers[1] and sorted(numbers[0].values()) == list(range(4000))
