@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -201,3 +202,23 @@ def secret_spans(text: str | None, reach: int) -> tuple[list[tuple], list[tuple]
 
         links.append((i, near(mine), near(ends)))
     return sorted(base), sorted(keep), links
+
+
+def languages(learned, texts, buckets=1 << 16, smoothing=0.5):
+    """Plain multinomial naive Bayes over grams of one to three code points, told apart by the gram itself."""
+    counts = {}
+    for text, lang in learned:
+        own = counts.setdefault(lang, Counter())
+        own.update(grams(text))
+    total = {lang: sum(own.values()) + smoothing * buckets for lang, own in counts.items()}
+    out = []
+    for text in texts:
+        logs = {lang: sum(math.log((own[g] + smoothing) / total[lang]) for g in grams(text)) for lang, own in counts.items()}
+        best = min(logs, key=lambda lang: (-logs[lang], lang))
+        out.append((best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())))
+    return out
+
+
+def grams(text):
+    text = text.lower()
+    return [text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1)]

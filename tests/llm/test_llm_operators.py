@@ -134,6 +134,20 @@ def test_language_on_odd_rows(odd, no_rows):
     assert language.identify(no_rows, F.lit(False)).count() == 0
 
 
+def test_language_equals_plain_bayes_however_many_there_are(spark):
+    """300 languages, null and repeated ids; small slices find what one slice finds."""
+    rows = [(None if k % 3 else k % 5, f"{chr(0x61 + k % 26)}{chr(0x4E00 + k)}{chr(0x4E00 + k)} shared {k % 7}", f"x{k:03d}") for k in range(300)]
+    docs = spark.createDataFrame([*rows, *rows, (1, "shared", None)], "doc_id long, text string, lang string")
+    want = brute.languages([(t, n) for _, t, n in [*rows, *rows]], [t for _, t, _ in rows])
+    for size in (90, language.SLICE, 400):
+        learned = language.learn(docs, slice_size=size)
+        got = {r.text2: (r.lang_pred, r.score) for r in language.predict(docs.withColumn("text2", F.col("text")), learned).collect()}
+        for (_, text, lang), (name, score) in zip(rows, want, strict=True):
+            assert got[text][0] == name == lang and abs(got[text][1] - score) < 1e-4
+    kept = language.predict(docs.selectExpr("text", "'a' AS best_", "1 AS score"), language.learn(docs))
+    assert kept.columns == ["best_", "lang_pred", "score"] and kept.filter("best_ = 'a'").count() == 601
+
+
 def test_op4(spark):
     got = QUERIES["op4_language_id"](spark, LEARN_DIR)
     truth = spark.read.parquet(f"{LEARN_DIR}/documents.parquet").select("doc_id", "lang")
