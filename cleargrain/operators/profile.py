@@ -5,8 +5,6 @@ Every figure about every column comes from one pass whose sums are combined befo
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +18,7 @@ from ..functions.values import (
     percent,
     value_type,
 )
+from ..session import settle
 
 ROW_ID = "_row_id"
 
@@ -58,36 +57,39 @@ def _declared_counts(table: DataFrame, fields: list[T.StructField]) -> DataFrame
     return table.agg(F.count(F.lit(1)).alias("total"), *gaps).select(F.inline(entries))
 
 
-def _tagged_counts(table: DataFrame, fields: list[T.StructField], row_id: str) -> DataFrame:
-    """Text is classified value by value.
+def _tagged_cells(table: DataFrame, fields: list[T.StructField], lexical: bool, kept: dict[str, Column]) -> DataFrame:
+    """One row per cell with its column's place and its coarse type.
 
-    Cells stream through one small classifier into map-side sums, which compiles far better than an
-    expression per column and type. Typed cells only pass as present or missing.
+    Cells stream through one small classifier, which compiles far better than an expression per
+    column and type. Only text that is to be read is looked at; other cells pass as present or missing.
     """
     cells = {
-        f"c{i}": quoted(f.name)
-        if isinstance(f.dataType, T.StringType)
-        else F.when(~is_missing(quoted(f.name), f.dataType), F.lit(""))
+        f"c{i}": quoted(f.name) if _reads_text(f, lexical) else F.when(~is_missing(quoted(f.name), f.dataType), F.lit(""))
         for i, f in enumerate(fields)
     }
-    declared = F.array(
-        *[F.lit(None if isinstance(f.dataType, T.StringType) else declared_type(f.dataType)) for f in fields]
+    tag = value_type(F.col("value"), T.StringType(), lexical=True)
+    return (
+        table.select(*[col.alias(name) for name, col in kept.items()], *[cell.alias(name) for name, cell in cells.items()])
+        .unpivot(list(kept), list(cells), "cell", "value")
+        .select("cell", tag.alias("tag"), *kept)
     )
+
+
+def _typed(counted: DataFrame, fields: list[T.StructField], lexical: bool) -> DataFrame:
+    """Tags of columns whose type is declared give way to it; cells get their column's place."""
+    declared = F.array(*[F.lit(None if _reads_text(f, lexical) else declared_type(f.dataType)) for f in fields])
+    ordinal, tag = F.substring("cell", 2, 9).cast("int"), F.col("tag")
+    named = F.when(tag == "missing", tag).otherwise(F.coalesce(F.get(declared, ordinal), tag))
+    return counted.withColumn("ordinal", ordinal).withColumn("tag", named).drop("cell")
+
+
+def _tagged_counts(table: DataFrame, fields: list[T.StructField], row_id: str) -> DataFrame:
+    """Text is classified value by value, into sums combined before the exchange."""
     names = F.array(*[F.lit(f.name) for f in fields])
-    ordinal = F.substring("cell", 2, 9).cast("int")
     tag = F.col("tag")
-    counted = (
-        table.select(F.col(row_id).alias("at"), *[cell.alias(name) for name, cell in cells.items()])
-        .unpivot(["at"], list(cells), "cell", "value")
-        .groupBy("cell", value_type(F.col("value"), T.StringType(), lexical=True).alias("tag"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_row"))
-        .select(
-            ordinal.alias("ordinal"),
-            F.when(tag == "missing", tag).otherwise(F.coalesce(F.get(declared, ordinal), tag)).alias("tag"),
-            "n",
-            "first_row",
-        )
-    )
+    cells = _tagged_cells(table, fields, True, {"at": F.col(row_id)})
+    counted = cells.groupBy("cell", "tag").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_row"))
+    counted = _typed(counted, fields, True)
     present = F.when(tag != "missing", _type_entry(tag, F.col("n"), F.col("first_row")))
     per_column = counted.groupBy("ordinal").agg(
         F.sum("n").alias("total"),
@@ -151,32 +153,54 @@ def missing_values_report(
     )
 
 
-def first_values(table: DataFrame, *, n: int = 3, row_id: str = ROW_ID) -> DataFrame:
-    """The first ``n`` present values of each column in row order, joined by commas.
+def _counts_and_limits(table: DataFrame, n: int, row_id: str, lexical: bool) -> DataFrame:
+    """One row per column: its counts as in :func:`column_counts`, and ``last``, a row id that bounds its first ``n`` values.
 
-    A first pass takes the least row id of each column in each of a few hash buckets; the nth least
-    of these is one that at least ``n`` of the column's values do not exceed. It comes back as one
-    row, a number per column. The second pass keeps just the cells up to these rows; a column with
-    fewer values than that gives all it has. Only those cells are rendered and ranked.
+    One scan. Counts and the least row id are kept per column, type and each of a few hash buckets of
+    the row id, combined before the exchange. Every one of these least ids is the place of another value,
+    so at least ``n`` values do not exceed the nth least; a column with fewer buckets than that
+    has its greatest id for a bound. The result, a row per column, is stored.
     """
     fields = _fields(table, row_id)
-    at = F.col(row_id)
-    present = {f"c{i}": ~is_missing(quoted(f.name), f.dataType) for i, f in enumerate(fields)}
-    least = table.groupBy(F.pmod(F.xxhash64(at), F.lit(64 * n)).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("rows"), *[F.min(F.when(there, at)).alias(cell) for cell, there in present.items()]
+    bucket = F.pmod(F.xxhash64(F.col(row_id)), F.lit(64 * n))
+    cells = _tagged_cells(table, fields, lexical, {"at": F.col(row_id), "bucket": bucket})
+    held = cells.groupBy("cell", "tag", "bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("first_row"), F.max("at").alias("last_row")
+    )
+    # At most one entry per bucket.
+    heads = F.slice(F.array_sort(F.collect_list("first_row")), 1, n)
+    per_type = _typed(held, fields, lexical).groupBy("ordinal", "tag").agg(
+        F.sum("n").alias("n"), F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row"), heads.alias("heads")
     )
-    limits = least.agg(
-        F.sum("rows").alias("rows"), *[F.get(F.array_sort(F.collect_list(cell)), F.lit(n - 1)).alias(cell) for cell in present]
-    ).first()
-    near = {cell: there if limits[cell] is None else there & (at <= limits[cell]) for cell, there in present.items()}
-    values = [
-        F.when(near[f"c{i}"], display(quoted(f.name), f.dataType)).alias(f"c{i}") for i, f in enumerate(fields)
-    ]
+    there = F.col("tag") != "missing"
+    found = per_type.groupBy("ordinal").agg(
+        F.sum("n").alias("total_rows"),
+        F.sum(F.when(there, 0).otherwise(F.col("n"))).alias("missing_count"),
+        F.collect_list(F.when(there, _type_entry(F.col("tag"), F.col("n"), F.col("first_row")))).alias("types"),
+        F.get(F.array_sort(F.flatten(F.collect_list(F.when(there, F.col("heads"))))), F.lit(n - 1)).alias("nth"),
+        F.max(F.when(there, F.col("last_row"))).alias("greatest"),
+    )
+    return settle(found.withColumn("last", F.coalesce("nth", "greatest")).drop("nth", "greatest"))
+
+
+def _values_up_to(table: DataFrame, limits: dict[int, int | None], n: int, row_id: str) -> DataFrame:
+    """The first ``n`` present values of each column, none of them behind the column's limit.
+
+    The limits are numbers here, so files and row groups behind all of them are skipped.
+    Only cells up to their column's limit are rendered and ranked.
+    """
+    at = F.col(row_id)
+    values = []
+    for i, f in enumerate(_fields(table, row_id)):
+        limit = limits.get(i)
+        near = F.lit(False) if limit is None else ~is_missing(quoted(f.name), f.dataType) & (at <= F.lit(limit))
+        values.append(F.when(near, display(quoted(f.name), f.dataType)).alias(f"c{i}"))
+    reached = [limit for limit in limits.values() if limit is not None]
     first = Window.partitionBy("cell").orderBy("at")
     heads = (
-        table.filter(reduce(lambda a, b: a | b, near.values(), F.lit(False)))
+        table.filter(at <= F.lit(max(reached)) if reached else F.lit(False))
         .select(at.alias("at"), *values)
-        .unpivot(["at"], list(present), "cell", "value")
+        .unpivot(["at"], [f"c{i}" for i in range(len(values))], "cell", "value")
         .filter(F.col("value").isNotNull())
         .withColumn("place", F.row_number().over(first))
         .filter(F.col("place") <= n)
@@ -189,20 +213,42 @@ def first_values(table: DataFrame, *, n: int = 3, row_id: str = ROW_ID) -> DataF
     )
 
 
-def column_profile(table: DataFrame, *, row_id: str = ROW_ID, lexical: bool = False) -> DataFrame:
-    """Type, fill and sample values of each column, in column order."""
-    samples = first_values(table, row_id=row_id)
+def _limits(facts: DataFrame) -> dict[int, int | None]:
+    """As many numbers as the table has columns."""
+    return {r["ordinal"]: r["last"] for r in facts.select("ordinal", "last").collect()}
+
+
+def first_values(table: DataFrame, *, n: int = 3, row_id: str = ROW_ID) -> DataFrame:
+    """The first ``n`` present values of each column in row order, joined by commas.
+
+    One scan bounds the row ids of these values per column; a second reads the rows up to the bounds.
+    A column without values has no row.
+    """
+    return _values_up_to(table, _limits(_counts_and_limits(table, n, row_id, False)), n, row_id)
+
+
+def column_profile(table: DataFrame, *, row_id: str = ROW_ID, lexical: bool = False, n: int = 3) -> DataFrame:
+    """Type, fill and ``n`` sample values of each column, in column order.
+
+    One scan of the whole table gives counts and bounds; a second stops at the bounds. A table without
+    rows has columns of unknown type and no fill.
+    """
+    names = [(i, f.name) for i, f in enumerate(_fields(table, row_id))]
+    facts = _counts_and_limits(table, n, row_id, lexical)
+    samples = _values_up_to(table, _limits(facts), n, row_id)
+    columns = table.sparkSession.createDataFrame(names, "ordinal int, column_name string")
+    total, missing = (F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in ("total_rows", "missing_count"))
     return (
-        column_counts(table, row_id=row_id, lexical=lexical)
-        # One row per column of the table: as small as the header.
+        # One row per column of the table on each side: as small as the header.
+        columns.join(F.broadcast(facts), "ordinal", "left")
         .join(F.broadcast(samples), "ordinal", "left")
         .orderBy("ordinal")
         .select(
             "column_name",
             inferred_type().alias("inferred_type"),
-            (F.col("total_rows") - F.col("missing_count")).alias("non_null_count"),
-            "missing_count",
-            percent(F.col("missing_count"), F.col("total_rows")).alias("missing_percentage"),
+            (total - missing).alias("non_null_count"),
+            missing.alias("missing_count"),
+            percent(missing, total).alias("missing_percentage"),
             F.coalesce("sample_values", F.lit("")).alias("sample_values"),
         )
     )
