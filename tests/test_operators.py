@@ -362,11 +362,26 @@ def test_few_long_names_are_not_broadcast_and_a_hot_name_is_split(spark):
     table = spark.createDataFrame([(i, "Hot" if i % 2 else long if i % 4 else None) for i in range(400)], "_row_id long, recipient_legal_name string")
     done = cleaning.apply_mapping(table, mapping, "recipient_legal_name", broadcast_bytes=1_000)
     text = done._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" not in text and "Generate explode" in text
+    # What is broadcast are the hashes of hot names, not the mapping.
+    assert text.count("strategy=broadcast") == 2 and "Generate explode" in text and text.count("_hash") > 2
     got = Counter(r[-1] for r in done.collect())
     assert got == {"Cold": 200, "Short": 100, None: 100}
 
 
+def test_only_hot_names_are_dealt_into_parts(spark):
+    names = ["Hot"] * 900 + ["Warm"] * 100 + [None] * 500 + [f"n{i}" for i in range(300)] + [" Hot "] * 100
+    table = spark.createDataFrame(list(enumerate(names)), "_row_id long, recipient_legal_name string")
+    rows = [("Hot", "Cold", "accepted", "", 100.0, "c"), ("n7", "Seven", "accepted", "", 100.0, "c"), ("gone", "x", "accepted", "", 100.0, "c")]
+    mapping = spark.createDataFrame(rows, cleaning.MAPPING_SCHEMA)
+    hot = cleaning.hot_names(table.selectExpr("trim(recipient_legal_name) AS _name"), 100)
+    assert [tuple(r) for r in hot.collect()] == [(spark.range(1).select(F.xxhash64(F.lit("Hot"))).first()[0], 10)]
+    assert cleaning.hot_names(table.selectExpr("recipient_legal_name AS _name").limit(0), 100).count() == 0
+    for hot_rows in (100, 10_000):
+        done = cleaning.apply_mapping(table, mapping, "recipient_legal_name", broadcast_rows=0, hot_rows=hot_rows).collect()
+        want = {i: {"Hot": "Cold", "n7": "Seven"}.get((n or "").strip(), n) for i, n in enumerate(names)}
+        assert {r[0]: r[-1] for r in done} == want and len(done) == len(names)
+
+
 def test_shared_word_does_not_send_every_pair_to_python(spark):
     names = [f"CUSTOMER {a}{b}" for a in ("ALDER", "BIRCHWOOD", "CYPRESS", "DOGWOODS", "EBONY TREE") for b in ("", " NORTH", " 77", " XYZ", " QQQQ")]
     pairs = spark.createDataFrame(list(itertools.combinations(names, 2)), "a string, b string")
