@@ -8,6 +8,9 @@ from urllib.parse import urlsplit
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import quoted
 
 # Where the old table is while a new one takes its place.
 PREVIOUS = ".previous"
@@ -50,7 +53,22 @@ def recover(spark: SparkSession, path: str) -> bool:
     return not files.exists(target) and files.exists(previous) and files.rename(previous, target)
 
 
-def write_table(table: DataFrame, path: str, *, protected: Iterable[str], fmt: str = "parquet", mode: str = "overwrite") -> str:
+def clustered(table: DataFrame, by: Iterable[str], parts: int | None = None) -> DataFrame:
+    """The rows in ranges of some columns, sorted within each, so that files and row groups hold narrow ranges.
+
+    Rows of one key go on in the order of a hash of the whole row, so a key that holds a large share of
+    the rows spans several ranges; only equal rows must stay together. Nulls come first.
+    """
+    keys = [quoted(c) for c in by]
+    hashed = [quoted(f.name) for f in table.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = [*keys, F.xxhash64(*hashed)]
+    dealt = table.repartitionByRange(parts, *order) if parts else table.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*keys)
+
+
+def write_table(
+    table: DataFrame, path: str, *, protected: Iterable[str], fmt: str = "parquet", mode: str = "overwrite", cluster_by: Iterable[str] = ()
+) -> str:
     """Write in parallel, replacing what the path held before; never over a protected input.
 
     The new table is written beside the path and takes its place when it is complete: a failed write
@@ -60,9 +78,13 @@ def write_table(table: DataFrame, path: str, *, protected: Iterable[str], fmt: s
     stores a rename copies and is not one step; use a table format there.
 
     Parquet keeps types and values as they are. CSV keeps every character of a cell, white space at
-    its ends and line breaks too. Modes other than overwrite write to the path itself.
+    its ends and line breaks too. Modes other than overwrite write to the path itself. With
+    ``cluster_by`` the rows are written in ranges of these columns (:func:`clustered`): a filter on the
+    first of them reads only the files and row groups whose range it meets.
     """
     target = check_output(path, protected)
+    by = list(cluster_by)
+    table = clustered(table, by) if by else table
     spark = table.sparkSession
     writer = table.write
     if fmt == "csv":

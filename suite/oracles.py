@@ -585,6 +585,7 @@ FINALS: dict[str, str] = {
         CASE WHEN facet = 'region' THEN label END, CASE WHEN facet = 'year' THEN -CAST(label AS INTEGER) END) AS position
       FROM facets WHERE facet <> 'region' OR label IN {KNOWN}) WHERE facet <> 'owner' OR position <= 30""",
     "l2_lens_filter": "SELECT * FROM slice",
+    "l2_lens_filter_clustered": "SELECT * FROM slice",
     "l3_key_figures": key_figures("cleaned"),
     "l3_key_figures_lens": key_figures("slice"),
     "l4_owner_chart": label_chart("owner"),

@@ -622,6 +622,14 @@ def _(df):
     return lens.cleaned_slice(df, _mapping(df), LENS)
 
 
+@query("l2_lens_filter_clustered")
+def _(spark, sf_dir):
+    """The slice, read from a cleaned table that is stored by start date and region."""
+    by = ["agreement_start_date", "recipient_province_clean"]
+    path = sinks.write_table(_cleaned(agreements(spark, sf_dir)), scratch_path(spark, "clustered"), protected=[sf_dir], cluster_by=by)
+    return lens.lens_filter(spark.read.parquet(path), LENS)
+
+
 @on_cleaned("l3_key_figures")
 def _(df):
     return _rounded(lens.key_figures(df), "total_value", "average_value")

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from decimal import ROUND_HALF_EVEN, Decimal
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -390,6 +391,32 @@ def test_shared_word_does_not_send_every_pair_to_python(spark):
     assert reach <= {tuple(r) for r in passed} and len(passed) < 0.6 * pairs.count()
 
 
+def test_a_year_of_a_clustered_table_is_in_few_files(spark, tmp_path):
+    """Half of the rows are of one day and spread over several files all the same; nulls and equal rows stay."""
+    day = "CASE WHEN id % 2 = 0 THEN DATE'2015-05-05' WHEN id % 11 = 0 THEN NULL ELSE date_add(DATE'2010-01-01', CAST(id % 3650 AS INT)) END"
+    table = spark.range(20_000).selectExpr("id AS _row_id", f"{day} AS agreement_start_date", "CAST(id % 7 AS STRING) AS region")
+    table = table.union(table.filter("_row_id < 50"))
+    by = ["agreement_start_date", "region"]
+    path = str(tmp_path / "clustered")
+    sinks.clustered(table, by, parts=20).write.parquet(path)
+    stored = spark.read.parquet(path)
+    assert stored.exceptAll(table).isEmpty() and table.exceptAll(stored).isEmpty()
+    spans = [
+        (stats.min.isoformat(), stats.max.isoformat())
+        for file in (tmp_path / "clustered").glob("*.parquet")
+        for group in [pq.ParquetFile(file).metadata.row_group(0)]
+        for stats in [next(c.statistics for c in (group.column(i) for i in range(group.num_columns)) if c.path_in_schema == by[0])]
+        if stats.has_min_max
+    ]
+    touched = {year: sum(low <= f"{year}-12-31" and high >= f"{year}-01-01" for low, high in spans) for year in range(2010, 2020)}
+    assert touched.pop(2015) >= 9 and max(touched.values()) <= 3
+    for year in (2012, 2015):
+        found = lens.lens_filter(stored, lens.Lens(year=str(year)))
+        assert found.count() == table.filter(f"year(agreement_start_date) = {year}").count()
+    sinks.write_table(table.limit(0), path, protected=[], cluster_by=by)
+    assert spark.read.parquet(path).count() == 0
+
+
 def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
     path = str(tmp_path / "cleaned")
     sinks.write_table(spark.range(1000).repartition(4), path, protected=[])
