@@ -164,3 +164,57 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), again.alias("folded_root")).withColumn(
         "verified", F.col("folded_root") == F.col("root")
     )
+
+
+# crc32 goes bit by bit over the digits of the id; nodes climb to one per group, then groups to one; a tampered leaf is
+# folded up by recursion. Equal rows are told apart by ``k``.
+OP12_SQL = """
+WITH RECURSIVE rows_ AS (
+  SELECT doc_id, lang, n_chars, concat_ws('', s_id, s_source, s_lang) AS head, s_text AS tail,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295) % 7 = 0 AND n_chars IS NOT NULL AS tampered
+  FROM (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') AS s_id,
+    coalesce(strlen(source) || ':' || source, '-') AS s_source, coalesce(strlen(lang) || ':' || lang, '-') AS s_lang,
+    coalesce(strlen(text) || ':' || text, '-') AS s_text FROM documents)
+), hashed AS (
+  SELECT *, row_number() OVER () AS k, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) AS other
+  FROM rows_
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, k) - 1 AS place,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS grp
+  FROM hashed
+), nodes AS (
+  SELECT grp, 0 AS level, place, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT grp, max(level) + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place))
+  FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM nodes) WHERE n > 1 GROUP BY grp, place // 2
+), tops AS (
+  SELECT grp, level AS height, digest AS subroot FROM (SELECT *, max(level) OVER (PARTITION BY grp) AS highest FROM nodes) WHERE level = highest
+), upper_ AS (
+  SELECT 0 AS level, grp AS place, subroot AS digest FROM tops
+  UNION ALL
+  SELECT max(level) + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place))
+  FROM (SELECT *, count(*) OVER () AS n FROM upper_) WHERE n > 1 GROUP BY place // 2
+), peak AS (SELECT level AS height, digest AS root FROM upper_ ORDER BY level DESC LIMIT 1
+), steps AS (
+  SELECT l.k, n.level, n.place, s.digest AS sibling FROM leaves l JOIN tops t USING (grp)
+    JOIN nodes n ON n.grp = l.grp AND n.level < t.height AND n.place = l.place >> n.level
+    LEFT JOIN nodes s ON s.grp = n.grp AND s.level = n.level AND s.place = xor(n.place, 1)
+  UNION ALL
+  SELECT l.k, t.height + u.level, u.place, s.digest FROM leaves l JOIN tops t USING (grp) CROSS JOIN peak p
+    JOIN upper_ u ON u.level < p.height AND u.place = l.grp >> u.level
+    LEFT JOIN upper_ s ON s.level = u.level AND s.place = xor(u.place, 1)
+), folded AS (
+  SELECT k, 0 AS level, CASE WHEN tampered THEN other ELSE leaf END AS digest FROM leaves
+  UNION ALL
+  SELECT f.k, f.level + 1, sha256(CASE WHEN s.sibling IS NULL THEN f.digest WHEN s.place % 2 = 0 THEN f.digest || s.sibling
+    ELSE s.sibling || f.digest END)
+  FROM folded f JOIN steps s ON s.k = f.k AND s.level = f.level
+), proofs AS (
+  SELECT k, string_agg(sibling, '' ORDER BY level) AS siblings FROM steps GROUP BY k
+), ends AS (SELECT k, arg_max(digest, level) AS folded_root FROM folded GROUP BY k)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN tops USING (grp) CROSS JOIN peak LEFT JOIN proofs USING (k) JOIN ends USING (k)
+"""

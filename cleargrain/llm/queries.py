@@ -7,7 +7,7 @@ from .chat import OP2_SQL, op2_chat_perspectives
 from .covertree import OP3_SQL, op3_exact_top_k
 from .digest import op9_document_fingerprints
 from .language import op4_language_id
-from .merkle import op12_merkle_manifest
+from .merkle import OP12_SQL, op12_merkle_manifest
 from .minhash import op7_minhash_near_dedup
 from .mixing import op6_source_mixing
 from .quality import op5_quality_classifier
@@ -34,4 +34,4 @@ QUERIES = {
         op13_secret_scan,
     )
 }
-ORACLES = {"op2_chat_perspectives": OP2_SQL, "op3_exact_top_k": OP3_SQL}
+ORACLES = {"op2_chat_perspectives": OP2_SQL, "op3_exact_top_k": OP3_SQL, "op12_merkle_manifest": OP12_SQL}
