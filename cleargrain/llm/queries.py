@@ -8,12 +8,12 @@ from .covertree import OP3_SQL, op3_exact_top_k
 from .digest import op9_document_fingerprints
 from .language import op4_language_id
 from .merkle import OP12_SQL, op12_merkle_manifest
-from .minhash import op7_minhash_near_dedup
+from .minhash import OP7_SQL, op7_minhash_near_dedup
 from .mixing import op6_source_mixing
 from .quality import op5_quality_classifier
 from .repair import op11_conversation_repair
 from .secrets import op13_secret_scan
-from .suffix_index import op1_suffix_array_dedup
+from .suffix_index import OP1_SQL, op1_suffix_array_dedup
 from .toxicity import op8_toxicity
 
 QUERIES = {
@@ -34,4 +34,10 @@ QUERIES = {
         op13_secret_scan,
     )
 }
-ORACLES = {"op2_chat_perspectives": OP2_SQL, "op3_exact_top_k": OP3_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLES = {
+    "op1_suffix_array_dedup": OP1_SQL,
+    "op2_chat_perspectives": OP2_SQL,
+    "op3_exact_top_k": OP3_SQL,
+    "op7_minhash_near_dedup": OP7_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+}

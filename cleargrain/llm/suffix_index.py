@@ -381,3 +381,28 @@ def remove_repeats(
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir, "doc_id", "text")).drop("text")
+
+
+# Every window of 400 bytes, as hexadecimal digits, is counted; overlapping windows that occur again make a run, and what
+# lies between the runs is kept.
+OP1_SQL = """
+WITH spelled AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), sized AS (SELECT doc_id, x, length(x) // 2 AS n FROM spelled
+), starts AS (SELECT doc_id, unnest(range(0, n - 399)) AS pos FROM sized
+), windows AS (SELECT s.doc_id, s.pos, md5(substr(x, 2 * s.pos + 1, 800)) AS h FROM starts s JOIN sized USING (doc_id)
+), again AS (SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY h) AS c FROM windows) WHERE c > 1
+), runs AS (
+  SELECT doc_id, min(pos) AS first, max(pos) + 400 AS stop FROM (
+    SELECT *, sum(CASE WHEN pos <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (
+      SELECT *, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM again))
+  GROUP BY doc_id, run
+), pieces AS (
+  SELECT doc_id, coalesce(lag(stop) OVER w, 0) AS a, first AS b FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY first)
+  UNION ALL SELECT doc_id, max(stop), max(n) FROM runs JOIN sized USING (doc_id) GROUP BY doc_id
+  UNION ALL SELECT doc_id, 0, n FROM sized WHERE doc_id NOT IN (SELECT doc_id FROM runs)
+), kept AS (
+  SELECT doc_id, sha256(unhex(string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a))) AS kept_sha256 FROM pieces JOIN sized USING (doc_id) GROUP BY doc_id
+), gone AS (SELECT doc_id, sum(stop - first) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, kept_sha256
+FROM sized JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
