@@ -9,6 +9,10 @@ names meet only under the rarest choice that they share. ``k`` is chosen per blo
 would make: none for a block of a few names, which all meet, and more where single letter pairs are
 common to too many. Nothing is left out: the bounds hold for every way in which a score can reach the
 floor, and names too short or floors too low for a bound (under two thirds) meet all of their block.
+
+Where only the best match of each name is asked for, names of one length that differ in one letter
+are not paired at all: they meet under what is left without that letter, and a window finds the best
+of each such group. What is looked for after that meets only names that can still be preferred.
 """
 
 from __future__ import annotations
@@ -31,12 +35,12 @@ from ..functions.scoring import (
     unshared,
     word_key,
 )
-from ..session import settle
+from ..session import broadcast_if_small, settle
 
 # Letter pairs are counted in so many groups per block; a group's count ranks its members.
 GROUPS = 512
-# Most letter pairs in a choice, and most choices that a name is listed under.
-MOST_TOGETHER, MOST_CHOICES = 4, 512
+# Letter pairs in a choice, and most choices that a name is listed under.
+TOGETHER, MOST_CHOICES = (0, 1, 2, 3, 4, 6, 8), 512
 # A block whose names all meet is cut into parts of about so many; each two parts meet in a tile of their own.
 PART_NAMES = 512
 # What a row under a choice costs, in pairs of names that meet.
@@ -44,7 +48,9 @@ LISTING = 1
 # A score prints with two decimals; what prints alike must be found at one floor.
 LAST_DIGIT = 0.01
 # Floors tried before the one asked for, where a block has more names than this.
-FALLING, LARGE = (90.0, 85.0), 1024
+FALLING, LARGE = (100 * WORD_WEIGHT, 90.0, 85.0), 1024
+# At this length and above, a letter changed scores higher than all that scores less than equal words and has more edits.
+LETTER_FROM = 13
 NEAR, FAR = 0, 1
 NAMED = ("normalized_value", "original_value", "frequency")
 # All that parts words.
@@ -101,6 +107,11 @@ def _listed_in_blocks(names: DataFrame, block_keys: Callable[[Column], Column])
     )
 
 
+def _with_facts(members: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
+    """Members with what is known of their blocks; where these are few, not even a large block is gathered in one task."""
+    return members.join(broadcast_if_small(facts)[0], by)
+
+
 def ranked(names: DataFrame, block_keys: Callable[[Column], Column]) -> tuple[DataFrame, bool]:
     """Names in blocks that can bring new pairs, and whether some block is large.
 
@@ -118,7 +129,7 @@ def ranked(names: DataFrame, block_keys: Callable[[Column], Column]) -> tuple[Da
         F.bool_and("is_plain").alias("all_plain"),
         (several[0] & several[1]).alias("new"),
     )
-    sizes = sizes.filter("size > 1 AND new").drop("place", "new")
+    sizes = broadcast_if_small(sizes.filter("size > 1 AND new").drop("place", "new"))[0]
     known = members.join(sizes, "block")
     if sizes.filter(F.col("size") > LARGE).isEmpty():
         return known, False
@@ -129,7 +140,7 @@ def ranked(names: DataFrame, block_keys: Callable[[Column], Column]) -> tuple[Da
     by_rank = F.array_sort(
         F.transform("letters", lambda letter: F.struct(F.element_at("counts", F.pmod(letter, F.lit(GROUPS)).cast("int")).alias("n"), letter.alias("letter")))
     )
-    found = known.join(counts, "block").withColumn("by_rank", by_rank)
+    found = _with_facts(known, counts, ["block"]).withColumn("by_rank", by_rank)
     found = found.withColumn("letters", F.transform("by_rank", lambda e: e["letter"]))
     found = found.withColumn("shares", F.transform("by_rank", lambda e: (e["n"] / F.col("size")).cast("float")))
     return settle(found.drop("by_rank", "counts")), True
@@ -234,12 +245,13 @@ def listed(members: DataFrame, large: bool, floor: float, metric: str = "weighte
 
     rows = reduce(DataFrame.unionByName, [part.withColumns({"kind": F.lit(kind), "need": least_needed(kind)}) for kind, part in kinds])
     rows = rows.withColumn("parts", F.ceil(F.col("size") / PART_NAMES).cast("int")).withColumn("part", F.pmod(F.xxhash64("normalized_value"), F.col("parts")).cast("int"))
-    every = range(MOST_TOGETHER + 1) if large else (0,)
+    every = TOGETHER if large else (0,)
     if large:
         costs = rows.groupBy("block", "kind").agg(*[F.expr(f"sum({_cost(k)})").alias(f"cost_{k}") for k in every])
         least = "least(" + ", ".join(f"cost_{k}" for k in every) + ")"
         together = "CASE " + " ".join(f"WHEN cost_{k} = {least} THEN {k}" for k in every) + " END"
-        rows = rows.join(costs.select("block", "kind", F.expr(together).alias("together")), ["block", "kind"]).withColumn("rarest", F.expr(_rarest("together")))
+        rows = _with_facts(rows, costs.select("block", "kind", F.expr(together).alias("together")), ["block", "kind"])
+        rows = rows.withColumn("rarest", F.expr(_rarest("together")))
         rows = rows.withColumn("first", F.slice("letters", 1, F.col("rarest")))
     else:
         rows = rows.withColumns({"together": F.lit(0), "rarest": F.lit(0)})
@@ -304,31 +316,79 @@ def close_pairs(names: DataFrame, block_keys: Callable[[Column], Column], floor:
     return _scored(pairs.select(*_named("l", "r")), floor, metric)
 
 
+def _still_wanted(members: DataFrame, open_: DataFrame, weight: Callable[[str, str], Column]) -> DataFrame:
+    """Members of blocks with open names, without those that weigh less than each open name of the block: nobody's match."""
+    mine = weight("original_value", "frequency")
+    lightest = members.join(open_, "normalized_value", "left_semi").groupBy("block").agg(F.min(mine).alias("lightest"))
+    kept = _with_facts(members, lightest, ["block"]).filter(mine >= F.col("lightest")).drop("lightest", "size")
+    return settle(_with_facts(kept, kept.groupBy("block").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), ["block"]))
+
+
+def _best_by_letter(members: DataFrame, open_: DataFrame, weight: Callable[[str, str], Column], floor: float) -> DataFrame:
+    """The best pairs of open names that have no better match than a preferred name with one letter changed or moved.
+
+    To be called for names without a match at the score of equal words. Of L letters these names score
+    ``1 - 1 / L``. A letter more or less scores above equal words from ``LETTER_FROM`` on, so open names have no such match;
+    two letters more score above them if L + 1 letters do, and a name whose blocks hold such lengths is left open if they do not.
+    All else has three edits or more, or a score of words or parts below ``1 - 1 / L``.
+    Names of one length with an indel distance of two are equal without one letter each. Such groups are as
+    small as the alphabet, and all pairs of a group score alike.
+    """
+    words = F.lit(WORD_WEIGHT)
+    long = members.filter((F.col("length") >= LETTER_FROM) & (1 - 1 / F.col("length") < words))
+    name = F.col("normalized_value")
+    without = F.transform(F.sequence(F.lit(1), F.col("length")), lambda at: F.concat(F.substring(name, F.lit(1), at - 1), F.substring(name, at + 1, F.col("length"))))
+    listed_ = long.select("block", *NAMED, "length", "most", F.explode(F.array_distinct(without)).alias("rest"))
+    group = Window.partitionBy("block", "rest")
+    # Of names of one weight none is preferred.
+    heavier = group.orderBy("place").rangeBetween(Window.unboundedPreceding, -1)
+    other = F.struct((-F.col("frequency")).alias("less"), F.col("original_value"), F.col("normalized_value"))
+    placed = listed_.withColumn("place", F.dense_rank().over(group.orderBy(weight("original_value", "frequency").desc())))
+    met = placed.withColumn("other", F.min(other).over(heavier)).filter("other IS NOT NULL")
+    best = met.groupBy(*NAMED, "length").agg(F.min("other").alias("other")).join(open_, "normalized_value", "left_semi")
+    longest = members.groupBy("normalized_value").agg(F.max("most").alias("most"))
+    best = best.join(longest, "normalized_value").filter((1 - 1 / (F.col("length") + 1) >= words) | (F.col("most") < F.col("length") + 2))
+    others = {"normalized_value": F.col("other.normalized_value"), "original_value": F.col("other.original_value"), "frequency": -F.col("other.less")}
+    pairs = best.select(*[F.col(n).alias(f"own_{n}") for n in NAMED], *[others[n].alias(f"other_{n}") for n in NAMED])
+    return _scored(_in_order(pairs), floor, "weighted")
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    """With the names of a pair as ``left`` and ``right`` in the order of :func:`close_pairs`."""
+    a, b = F.col("own_normalized_value"), F.col("other_normalized_value")
+    return pairs.withColumns({"left_normalized_value": F.when(a < b, a).otherwise(b), "right_normalized_value": F.when(a < b, b).otherwise(a)})
+
+
 def best_pairs(names: DataFrame, block_keys: Callable[[Column], Column], weight: Callable[[str, str], Column], floor: float) -> DataFrame:
     """For each name its best pair with a preferred name (a larger ``weight``) of a block, if it reaches the floor.
 
     Where blocks are large, floors fall: a name that has a match at a high floor, where names must
-    share most of what they have, is not looked for at lower ones.
+    share most of what they have, is not looked for at lower ones. ``weight`` orders by frequency first.
     """
     members, large = ranked(names, block_keys)
     found, open_ = [], members
+
+    def close(best: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found.append(settle(best))
+        done = found[-1].select(F.col("own_normalized_value").alias("normalized_value"))
+        left = settle(open_.select("normalized_value").distinct().join(done, "normalized_value", "left_anti"))
+        return left, _still_wanted(members, left, weight)
+
     for level in [f for f in FALLING if large and f > floor] + [floor]:
         at = level if level == floor else level - LAST_DIGIT
         rows = listed(members, large, at)
         mine = rows if not found else rows.join(open_, "normalized_value", "left_semi")
         preferred = weight("l.original_value", "l.frequency") < weight("r.original_value", "r.frequency")
         pairs = mine.alias("l").join(rows.alias("r"), _meet(at, "weighted") & preferred)
-        # The order of the names in a pair is that of close_pairs.
-        a, b = _both("normalized_value")
-        sides = [F.when(a < b, x).otherwise(y).alias(x_) for x, y, x_ in ((a, b, "left_normalized_value"), (b, a, "right_normalized_value"))]
-        scored = _scored(pairs.select(*[c.alias(n) for c, n in zip((*map(F.col, (f"l.{n}" for n in NAMED)), *map(F.col, (f"r.{n}" for n in NAMED))), [f"{s}_{n}" for s in ("own", "other") for n in NAMED], strict=True)], *sides), at, "weighted")
+        scored = _scored(_in_order(pairs.select(*[F.col(f"{side}.{n}").alias(f"{s}_{n}") for side, s in (("l", "own"), ("r", "other")) for n in NAMED])), at, "weighted")
         first = Window.partitionBy("own_normalized_value").orderBy(F.desc(F.bround("score", 2)), F.desc("other_frequency"), F.asc("other_original_value"), F.asc("other_normalized_value"))
-        best = scored.withColumn("rank", F.row_number().over(first)).filter("rank = 1").filter(F.col("score") >= level)
-        best = settle(best) if level != floor else best
-        found.append(best)
-        if level != floor:
-            done = best.select(F.col("own_normalized_value").alias("normalized_value"))
-            open_ = settle(open_.select("normalized_value").distinct().join(done, "normalized_value", "left_anti"))
+        best = scored.withColumn("rank", F.row_number().over(first)).filter("rank = 1").drop("rank").filter(F.col("score") >= level)
+        if level == floor:
+            found.append(best)
+            continue
+        open_, members = close(best)
+        if level == 100 * WORD_WEIGHT:
+            open_, members = close(_best_by_letter(members, open_, weight, floor))
     pairs = reduce(DataFrame.unionByName, found)
     mine_first = F.col("own_normalized_value") == F.col("left_normalized_value")
     return pairs.select(

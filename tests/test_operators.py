@@ -167,6 +167,50 @@ def test_edit_pairs_from_what_names_share(spark, monkeypatch):
     assert {(r[0], r[3]) for r in variants.scored_pairs(reps, 70.0, "edit").collect()} == want and want
 
 
+def best_by_hand(names, pairs, floor):
+    """Rank of the best match with a preferred name, by plain loops."""
+    weight, best = {n: (f, len(n), n) for n, f in names.items()}, {}
+    for pair in pairs:
+        if (score := scoring.weighted_ratio(*pair)) >= floor:
+            variant, canonical = sorted(pair, key=weight.get)
+            rank = (-float(Decimal(repr(score)).quantize(Decimal("0.01"), ROUND_HALF_EVEN)), -names[canonical], canonical)
+            best[variant] = min(best.get(variant, rank), rank)
+    return best
+
+
+@pytest.mark.parametrize("floor", [80.0, 93.0])
+def test_names_one_letter_apart(spark, monkeypatch, floor):
+    """Letters changed, moved, added, taken out, words turned round, in names on both sides of where one letter decides."""
+    monkeypatch.setattr(closeness, "LARGE", 2)
+    draw, names = random.Random(int(floor)), {}
+    for stem in ("MILL TOWN 00", "MILL NORTHERN 0", "MILL AND MILL SON 0", "MILL ÉÉ 00000000"):
+        for _ in range(60):
+            name = stem + "".join(draw.choices("0123", k=draw.randint(2, 4)))
+            turned = " ".join(reversed(name.split())) if draw.random() < 0.1 else name
+            names[turned] = draw.randint(1, 4)
+    counts = spark.createDataFrame([(n, n, f) for n, f in names.items()], "original_value string, normalized_value string, frequency long")
+    got = {r.variant_value: (-r.similarity_score, -r.canonical_count, r.canonical_value) for r in variants.strongest_fuzzy_matches(counts, min_similarity=floor).collect()}
+    assert got == best_by_hand(names, brute_variants(names), floor) and len(got) > 100
+
+
+def test_the_best_match_is_found_without_all_close_pairs(spark, monkeypatch):
+    names = {f"CUSTOMER {i * 7919 % 10000:09d}": 1 + i % 4 for i in range(1600)}
+    counts = spark.createDataFrame([(n, n, f) for n, f in names.items()], "original_value string, normalized_value string, frequency long")
+    scored, made = closeness._scored, []
+
+    def counted(pairs, floor, metric):
+        made.append(pairs.count())
+        return scored(pairs, floor, metric)
+
+    monkeypatch.setattr(closeness, "_scored", counted)
+    got = {r.variant_value: (-r.similarity_score, -r.canonical_count, r.canonical_value) for r in variants.strongest_fuzzy_matches(counts).collect()}
+    assert sum(made) < 4 * len(names)
+    some = list(names)[::200]
+    for name in some:
+        others = [tuple(sorted((name, other))) for other in names if other != name]
+        assert got.get(name) == best_by_hand(names, others, 80.0).get(name)
+
+
 def test_few_of_the_pairs_of_a_block_meet(spark, monkeypatch):
     monkeypatch.setattr(closeness, "LARGE", 2)
     rows = [(f"UNIT {i * 37 % 9973:05d} {i * 91 % 997:03d}",) * 2 + (1 + i % 3,) for i in range(1600)]
