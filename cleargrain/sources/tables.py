@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import quoted
 from ..operators.profile import ROW_ID
+from ..session import broadcast_if_small
 from .sinks import recover
 
 
@@ -31,13 +32,14 @@ def in_file_order(rows: DataFrame, place: Column) -> DataFrame:
     """Number rows from 0 by file name and by ``place``, a number that rises through each file, however files are split.
 
     A place is counted from the least one of its file. The rows of each file are counted in a scan
-    that reads no data columns, and summed up over the files before.
+    that reads no data columns, and summed up over the files before. This is done at once; the sums,
+    a row per file, are broadcast, so rows stay where they are read and a large file is not gathered in one task.
     """
     placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), place.alias("_place"))
     files = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_least"))
     # One row per file.
     earlier = F.sum("_rows").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_rows")
-    shifts = files.select("_file", (earlier - F.col("_least")).alias("_shift"))
+    shifts, _ = broadcast_if_small(files.select("_file", (earlier - F.col("_least")).alias("_shift")))
     return placed.join(shifts, "_file").select(*[quoted(c) for c in rows.columns], (F.col("_place") + F.col("_shift")).alias(ROW_ID))
 
 

@@ -495,3 +495,13 @@ def test_rows_keep_their_numbers_however_files_are_split(spark, tmp_path, fmt):
         numbers.append({r["a"]: r["_row_id"] for r in read(spark, path).select("a", "_row_id").collect()})
     spark.conf.set(name, before)
     assert numbers[0] == numbers[1] and sorted(numbers[0].values()) == list(range(4000))
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_numbering_rows_of_a_file_exchanges_none_of_them(spark, tmp_path, fmt):
+    path = str(tmp_path / "rows")
+    spark.range(500).select(F.col("id").cast("string").alias("a")).coalesce(1).write.option("header", True).format(fmt).save(path)
+    rows = {"parquet": tables.read_parquet, "csv": tables.read_csv}[fmt](spark, path)
+    assert [(r.a, r._row_id) for r in rows.orderBy("_row_id").collect()] == [(str(i), i) for i in range(500)]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
