@@ -154,7 +154,14 @@ def display(col: Column, dtype: T.DataType, *, date_separator: str = " ") -> Col
         stamp = col.cast("timestamp_ntz")
         whole = F.date_format(stamp, f"yyyy-MM-dd'{date_separator}'HH:mm:ss")
         fraction = F.date_format(stamp, "SSSSSS")
-        return F.when(fraction == "000000", whole).otherwise(F.concat_ws(".", whole, fraction))
+        # Whole seconds of years of four digits, as nearly all are, print as Spark casts them, which is faster; year 0 does not.
+        plain = stamp.cast("string")
+        usual = (F.char_length(plain) == 19) & (plain >= "0001")
+        return (
+            F.when(usual, F.replace(plain, F.lit(" "), F.lit(date_separator)))
+            .when(fraction == "000000", whole)
+            .otherwise(F.concat_ws(".", whole, fraction))
+        )
     if isinstance(dtype, T.BooleanType):
         return F.initcap(col.cast("string"))
     if isinstance(dtype, T.FloatType):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import MISSING_KEY, is_missing, normalize, quoted, serialize, strip
+from ..session import broadcast_if_small
 from .profile import ROW_ID
 from .roles import DEFAULT_ROLES, Roles, primary_organization
 
@@ -22,6 +23,8 @@ RECOMMENDATIONS = {
     PROBABLE: "Manual review required because similarity on business fields does not prove redundancy.",
 }
 EXACT_KEY_PARTS_SHOWN = 8
+# So many repeated hashes of 8 bytes are broadcast.
+HASHES_BROADCAST = 2_000_000
 PROBABLE_PARTS_NEEDED = 4
 PROBABLE_KEY = "_probable_key"
 FULL_KEY = "full_key"
@@ -71,9 +74,9 @@ def exact_duplicates(
 ) -> DataFrame:
     """Rows equal in every column but the row number.
 
-    A first pass counts 8-byte hashes. Only rows whose hash repeats go on to be grouped by their full
-    values, which also tells colliding rows apart; Spark broadcasts the repeated hashes where their
-    bytes are few and joins them by exchange otherwise. Values are rendered as text only for the
+    A first pass, run at once, counts 8-byte hashes. Only rows whose hash repeats go on to be grouped by their full
+    values, which also tells colliding rows apart. The repeated hashes are broadcast where they are few, so that
+    no other row is exchanged, and joined by exchange otherwise. Values are rendered as text only for the
     groups found. The shown key has the first eight columns; ``full_key`` adds a hash of all of
     them, by which groups can be told apart and rows joined back.
     """
@@ -83,7 +86,7 @@ def exact_duplicates(
     rows = table.select(*[_comparable(table, column).alias(name) for column, name in names.items()])
     rows = rows.withColumn("h", F.xxhash64(*names.values()))
 
-    repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    repeated, _ = broadcast_if_small(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), HASHES_BROADCAST)
     rows = rows.join(repeated, "h", "left_semi")
     groups = rows.groupBy(*names.values()).agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import display, is_missing, quoted
+from ..functions.text import display, is_missing, quoted, strip
 from ..functions.values import (
     TYPE_PRIORITY,
     MissingBands,
@@ -67,10 +67,12 @@ def _tagged_cells(table: DataFrame, fields: list[T.StructField], lexical: bool,
         f"c{i}": quoted(f.name) if _reads_text(f, lexical) else F.when(~is_missing(quoted(f.name), f.dataType), F.lit(""))
         for i, f in enumerate(fields)
     }
-    tag = value_type(F.col("value"), T.StringType(), lexical=True)
+    # Stripped in a projection of its own, so once per cell.
+    tag = value_type(F.col("value"), T.StringType(), lexical=True, stripped=F.col("text"))
     return (
         table.select(*[col.alias(name) for name, col in kept.items()], *[cell.alias(name) for name, cell in cells.items()])
         .unpivot(list(kept), list(cells), "cell", "value")
+        .withColumn("text", strip(F.col("value")))
         .select("cell", tag.alias("tag"), *kept)
     )
 

@@ -1,7 +1,11 @@
 """The shape of the physical plans."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from cleargrain.operators import duplicates, profile
+from cleargrain.plans import steps
+from suite import agreements
 from suite.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -56,3 +60,35 @@ def test_year_of_a_date_column_is_pushed_down(spark, tmp_path):
     pushed = plan(rows).split("PushedFilters:")[1].split("]")[0]
     assert "GreaterThanOrEqual(agreement_start_date,2020-01-01)" in pushed and "LessThan(a" in pushed
     assert rows.count() == 366
+
+
+def test_rows_with_copies_are_read_once(spark):
+    """The rows and their copies come from one scan of the orders."""
+    rows = agreements.agreements_with_copies(spark, SF_DIR)
+    one = agreements.agreements(spark, SF_DIR)
+    again = one.filter(F.col("_row_id") % 40 == 0).withColumn("_row_id", F.col("_row_id") + agreements.COPY_OFFSET)
+    want = one.unionByName(again)
+    assert rows.schema.simpleString() == want.schema.simpleString()
+    assert rows.exceptAll(want).isEmpty() and want.exceptAll(rows).isEmpty()
+    assert plan(rows).count("FileScan") == plan(one).count("FileScan") > 0
+
+
+def test_overview_without_a_lens_stores_no_slice(spark, monkeypatch):
+    stored, settle = [], steps.settle
+    monkeypatch.setattr(steps, "settle", lambda table: stored.append(table.columns) or settle(table))
+    rows = agreements.agreements_with_copies(spark, SF_DIR)
+    steps.overview(rows, "agreements", lexical=True)
+    assert len([c for c in stored if "recipient_legal_name_cleaned_codex" in c]) == 1
+
+
+def test_only_repeated_rows_are_exchanged(spark):
+    rows = agreements.agreements_with_copies(spark, SF_DIR)
+    found = plan(duplicates.exact_duplicates(rows))
+    joins = [line for line in found.splitlines() if "LeftSemi" in line]
+    assert len(joins) == 1 and "BroadcastHashJoin" in joins[0]
+
+
+def test_cells_are_stripped_once(spark):
+    rows = agreements.agreements(spark, SF_DIR)
+    text = profile.missing_values_report(rows, lexical=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("trim(value") == 1

@@ -106,3 +106,13 @@ def test_companion_columns(spark):
     assert text.with_normalized(table, "a").columns == ["a", "a_normalized_codex"]
     with pytest.raises(KeyError):
         text.with_normalized(table, "b")
+
+
+def test_dates_print_alike_in_all_years(spark):
+    stamps = ["0000-02-29 01:02:03", "0001-01-01 00:00:00", "-0044-03-15 12:00:00", "1998-02-06 00:00:00", "2020-01-31 23:59:59.5", "9999-12-31 23:59:59", "+12000-01-01 00:00:00", None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(stamps)], "i int, v string").withColumn("t", F.col("v").cast("timestamp_ntz"))
+    for mark in (" ", "T"):
+        whole, fraction = F.date_format("t", f"yyyy-MM-dd'{mark}'HH:mm:ss"), F.date_format("t", "SSSSSS")
+        want = F.when(fraction == "000000", whole).otherwise(F.concat_ws(".", whole, fraction))
+        found = rows.select("v", text.display(F.col("t"), T.TimestampNTZType(), date_separator=mark).alias("got"), want.alias("want")).collect()
+        assert [r.got for r in found] == [r.want for r in found] and found[3].got == f"1998-02-06{mark}00:00:00"
