@@ -92,7 +92,8 @@ def overview(
     done = reports(table, name, row_id=row_id, roles=roles, **options)
     # Ten outputs read the cleaned table and its slice, and six the facets.
     cleaned = settle(cleaning.cleaned_table(table, done.mapping, roles))
-    part = settle(lens.lens_filter(cleaned, chosen, roles))
+    # Without a lens the slice is the cleaned table, which is stored already.
+    part = settle(lens.lens_filter(cleaned, chosen, roles)) if chosen.active else cleaned
     counted = settle(lens.facets(part, row_id=row_id, roles=roles))
     top = lens.leaders(part, counted=counted, records=part.count(), row_id=row_id, roles=roles)
     return {

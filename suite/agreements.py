@@ -75,10 +75,11 @@ def agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agreements_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows, every fortieth twice under a new row id."""
+    """The same rows, every fortieth twice under a new row id. The tables are read and joined once for both."""
+    at = F.col("_row_id")
+    ids = F.when(at % 40 == 0, F.array(at, at + COPY_OFFSET)).otherwise(F.array(at))
     rows = agreements(spark, sf_dir)
-    again = rows.filter(F.col("_row_id") % 40 == 0)
-    return rows.unionByName(again.withColumn("_row_id", F.col("_row_id") + COPY_OFFSET))
+    return rows.withColumn("_ids", ids).withColumn("_row_id", F.explode("_ids")).drop("_ids")
 
 
 AGREEMENTS_SQL = f"""
